@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewren.llm import bpe, exact_dedup, mixing, token_io
+from pricewren.llm import bpe, exact_dedup, language_id, mixing, token_io
+from pricewren.llm.common import hash_mod
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: Target weights of the mixing query: two domains are wanted more, as are English and Spanish.
@@ -30,11 +31,17 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_epochs").alias("epochs"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = language_id.identify(docs.select("doc_id", "text", "lang"), hash_mod("doc_id", 5) != 0)
+    return out.select("doc_id", (hash_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(documents(spark, sf_dir), WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_token_io, op4_mixing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_token_io, op4_mixing, op8_language_id, op10_bpe)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 _DOMAIN = "case when regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) = '' then 'other' else 'd' || (cast(regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) as bigint) % 4) end"
