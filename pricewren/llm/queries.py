@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewren.llm import bpe, exact_dedup, language_id, mixing, token_io
+from pricewren.llm import bpe, exact_dedup, language_id, mixing, token_io, toxicity
 from pricewren.llm.common import hash_mod
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -37,11 +37,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (hash_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.train(docs, labels, hash_mod("doc_id", 5) != 0)
+    return toxicity.predict(docs, model).withColumn("held_out", hash_mod("doc_id", 5) == 0)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(documents(spark, sf_dir), WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_token_io, op4_mixing, op8_language_id, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_token_io, op4_mixing, op8_language_id, op9_toxicity, op10_bpe)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 _DOMAIN = "case when regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) = '' then 'other' else 'd' || (cast(regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) as bigint) % 4) end"
