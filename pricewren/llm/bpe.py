@@ -31,7 +31,7 @@ LEAF = 48
 #: Documents of more code points than this are dealt out in segments.
 LONG_CHARS = 65_536
 #: Runs that a worker remembers before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: Pieces that need no library normalizer: printable signs below U+0250, of which none changes another's lower case.
 _SIMPLE = regex.compile(r"[\x21-\x7E\xA1-\xAC\xAE-\u012F\u0131-\u0148\u014A-\u024F]+")
 _RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
