@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewren.llm import bpe, exact_dedup, language_id, mixing, token_io, toxicity
+from pricewren.llm import bpe, exact_dedup, fingerprints, language_id, mixing, token_io, toxicity
 from pricewren.llm.common import hash_mod
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_epochs").alias("epochs"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = language_id.identify(docs.select("doc_id", "text", "lang"), hash_mod("doc_id", 5) != 0)
@@ -48,7 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(documents(spark, sf_dir), WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_token_io, op4_mixing, op8_language_id, op9_toxicity, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_token_io, op4_mixing, op5_fingerprints, op8_language_id, op9_toxicity, op10_bpe)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 _DOMAIN = "case when regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) = '' then 'other' else 'd' || (cast(regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) as bigint) % 4) end"
