@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewren.llm import bpe, exact_dedup, fingerprints, language_id, mixing, token_io, toxicity
+from pricewren.llm import bpe, exact_dedup, fingerprints, language_id, lattice_lm, mixing, token_io, toxicity
 from pricewren.llm.common import hash_mod
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Target weights of the mixing query: two domains are wanted more, as are English and Spanish.
 MIX = {"domain_weights": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang_weights": {"en": 5, "es": 4, "de": 2, "fr": 2}, "source_weights": {"src0": 2}, "max_epochs": 3}
 
@@ -35,6 +36,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learns = hash_mod("doc_id", 7) != 2
+    return lattice_lm.score(documents(spark, sf_dir), learns, PIECES).withColumn("held_out", hash_mod("doc_id", 7) == 2)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = language_id.identify(docs.select("doc_id", "text", "lang"), hash_mod("doc_id", 5) != 0)
@@ -52,7 +58,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(documents(spark, sf_dir), WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_token_io, op4_mixing, op5_fingerprints, op8_language_id, op9_toxicity, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_token_io, op4_mixing, op5_fingerprints, op7_lattice_lm, op8_language_id, op9_toxicity, op10_bpe)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 _DOMAIN = "case when regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) = '' then 'other' else 'd' || (cast(regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) as bigint) % 4) end"
