@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ STEM_SIZES = (4, 5, 6, 7)
 SAMPLE, SAMPLE_CHARS = 4000, 30_000
 #: Learned entries at most, the least documents one is seen in, and the least likelihood ratio.
 ENTRIES, LEAST_DOCS, LEAST_RATIO = 5000, 4, 24.0
+#: Learned terms that misspelled words may reach: so many, the most significant, and none shorter.
+FUZZY_TERMS, FUZZY_CHARS = 300, 7
 
 
 class LevenshteinAutomaton:
@@ -67,10 +70,12 @@ class LevenshteinAutomaton:
 class Lexicon:
     """Terms and stems with weights; lookups go through the trie of the terms."""
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float]):
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], fuzzy: list[str] | None = None):
+        """fuzzy: the terms that a misspelled word may reach; all if not given."""
         self.terms, self.stems = terms, stems
+        self.fuzzy = sorted(terms) if fuzzy is None else fuzzy
         self.trie: dict = {}
-        for term in terms:
+        for term in self.fuzzy:
             node = self.trie
             for sign in term:
                 node = node.setdefault(sign, {})
@@ -78,13 +83,13 @@ class Lexicon:
         # a word within one edit of a term keeps the term's first or second half whole, and nearly its length
         self.heads: dict[str, set[int]] = {}
         self.tails: dict[str, set[int]] = {}
-        for term in terms:
+        for term in self.fuzzy:
             if len(term) >= 5:
                 half, sizes = len(term) // 2, {len(term) - 1, len(term), len(term) + 1}
                 self.heads.setdefault(term[:half], set()).update(sizes)
                 self.tails.setdefault(term[half:], set()).update(sizes)
         self.head_sizes, self.tail_sizes = (sorted({len(x) for x in d}) for d in (self.heads, self.tails))
-        self.longest = max(map(len, terms), default=0) + 1
+        self.longest = max(map(len, self.fuzzy), default=0) + 1
         self.seen: dict[str, tuple[float, int] | None] = {}
 
     def _may_be_near(self, word: str) -> bool:
@@ -193,12 +198,12 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(features(texts, self.lexicon) @ self.weights + self.bias, -30, 30)))
 
     def to_json(self) -> str:
-        return json.dumps({"terms": self.lexicon.terms, "stems": self.lexicon.stems, "weights": self.weights.tolist(), "bias": self.bias})
+        return json.dumps({"terms": self.lexicon.terms, "stems": self.lexicon.stems, "fuzzy": self.lexicon.fuzzy, "weights": self.weights.tolist(), "bias": self.bias})
 
     @classmethod
     def from_json(cls, text: str) -> ToxicityModel:
         got = json.loads(text)
-        return cls(Lexicon(got["terms"], got["stems"]), np.array(got["weights"]), got["bias"])
+        return cls(Lexicon(got["terms"], got["stems"], got["fuzzy"]), np.array(got["weights"]), got["bias"])
 
 
 def default_model() -> ToxicityModel:
@@ -220,13 +225,26 @@ def _ratio(a: int, b: int, n1: int, n0: int) -> float:
     return 2 * g
 
 
+def _family(words: set[str]) -> tuple[int, ...]:
+    """The three least hashes of a document's words, which near copies share."""
+    return tuple(sorted(xxhash.xxh3_64_intdigest(w) for w in words)[:3])
+
+
 def learn_lexicon(texts: list[str], labels: np.ndarray) -> Lexicon:
-    """Seed terms, and terms and stems that toxic documents have significantly more often."""
+    """Seed terms, and terms and stems that toxic documents have significantly more often.
+
+    Of near copies only the first counts, so that a copied document's words don't look significant.
+    """
+    own_words = [{c for w in set(t.lower().split()) if len(c := w.strip(EDGES)) >= 4 and c.isalpha()} for t in texts]
+    families: dict[tuple, int] = {}
+    for i, own in enumerate(own_words):
+        families.setdefault((int(labels[i]), *_family(own)), i)
+    kept = sorted(families.values())
+    own_words, labels = [own_words[i] for i in kept], labels[kept]
     n1 = int(labels.sum())
     n0 = len(labels) - n1
     terms, stems = (Counter(), Counter()), (Counter(), Counter())
-    for text, label in zip(texts, labels.tolist(), strict=True):
-        own = {c for w in set(text.lower().split()) if len(c := w.strip(EDGES)) >= 4 and c.isalpha()}
+    for own, label in zip(own_words, labels.tolist(), strict=True):
         terms[label].update(own)
         stems[label].update({w[:k] for w in own for k in STEM_SIZES if len(w) > k})
 
@@ -242,7 +260,8 @@ def learn_lexicon(texts: list[str], labels: np.ndarray) -> Lexicon:
         if not any(entry[:k] in best_stems for k in STEM_SIZES if k < len(entry)):
             best_stems[entry] = w
     best = {entry: w for _, entry, w in sorted(weigh(terms), key=lambda x: (-x[0], x[1]))[:ENTRIES]}
-    return Lexicon(dict.fromkeys(SEED_TERMS, 4.0) | best, best_stems)
+    fuzzy = [t for t in best if len(t) >= FUZZY_CHARS][:FUZZY_TERMS]
+    return Lexicon(dict.fromkeys(SEED_TERMS, 4.0) | best, best_stems, sorted({*SEED_TERMS, *fuzzy}))
 
 
 def fit(texts: list[str], labels: np.ndarray, rounds: int = 600, rate: float = 0.3, ridge: float = 1e-3) -> ToxicityModel:
