@@ -36,6 +36,8 @@ V = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 WIDTH = LENGTH - V + 1
 LONG = LENGTH + V - 1
+#: Bytes of text in a chunk, and sampled names in a bucket, about. Both numbers follow the input alone.
+CHUNK_BYTES, BUCKET_NAMES = 8 << 20, 2 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -232,8 +234,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     earlier in the same. Null texts count as empty; a null doc_id comes before all others; rows that share a doc_id
     follow each other by text. Strings are judged on the input. Only doc_id and text are read.
     """
-    n = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    log2 = max(2, min(24, n.bit_length()))
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 0
+    n = max(4, -(-size // CHUNK_BYTES))
+    log2 = max(2, min(24, (size * len(COVER) // V // BUCKET_NAMES).bit_length()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("chunk", range_buckets(rows, "doc_id", n))
 
