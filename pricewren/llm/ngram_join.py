@@ -63,37 +63,39 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rarity_levels(dealt: DataFrame, buckets_log2: int) -> DataFrame:
-    """chunk, bucket and ``levels`` (bytes): for each distinct shingle of a chunk's documents, in order, how common it is.
+    """chunk, bucket and ``levels`` (bytes): for each distinct shingle of a chunk, ascending, how common it is.
 
-    A level is 0 for a shingle of one document and about four times the logarithm to base 2 of its documents else.
-    Shingles travel as the 32 bits below those that name their bucket, so the bits in use follow the input. Two
-    shingles that agree in these share a count, which only alters the order in which shingles are tried.
+    A level is 0 for a shingle of one document and about four times the logarithm to base 2 of its documents else
+    (a chunk counts for 255 of them at most). A chunk sends each shingle once, as the 32 bits below those that name
+    its bucket, so the bits in use follow the input. Two shingles that agree in these share a count, which only
+    alters the order in which shingles are tried.
     """
 
     def keys(table: pa.Table) -> pa.Table:
-        h, _ = shingle_sets(texts_of(table))
-        bucket = (h >> np.uint64(64 - buckets_log2)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        low = ((h >> np.uint64(32 - buckets_log2)) & np.uint64(0xFFFFFFFF)).astype("<u4")[order]
-        edges = np.searchsorted(bucket[order], np.arange((1 << buckets_log2) + 1))
+        h, n = np.unique(shingle_sets(texts_of(table))[0], return_counts=True)
+        edges = np.searchsorted(h >> np.uint64(64 - buckets_log2), np.arange((1 << buckets_log2) + 1, dtype=np.uint64))
+        low = ((h >> np.uint64(32 - buckets_log2)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+        n = np.minimum(n, 255).astype(np.uint8)
         filled = [b for b in range(1 << buckets_log2) if edges[b + 1] > edges[b]]
-        return pa.table({"chunk": pa.array(np.full(len(filled), table.column("chunk")[0].as_py(), np.int32)), "bucket": pa.array(filled, pa.int32()), "keys": pa.array([low[edges[b] : edges[b + 1]].tobytes() for b in filled], pa.binary())})
+        cut_ = lambda x: pa.array([x[edges[b] : edges[b + 1]].tobytes() for b in filled], pa.binary())
+        return pa.table({"chunk": pa.array(np.full(len(filled), table.column("chunk")[0].as_py(), np.int32)), "bucket": pa.array(filled, pa.int32()), "keys": cut_(low), "counts": cut_(n)})
 
     def count(table: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(k, "<u4") for k in table.column("keys").to_pylist()]
         every = np.concatenate(blobs)
+        weights = np.concatenate([np.frombuffer(c, np.uint8) for c in table.column("counts").to_pylist()])
         order = np.argsort(every)
         ranked = every[order]
         first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
         group = np.cumsum(first) - 1
-        sizes = np.bincount(group)
+        sizes = np.bincount(group, weights=weights[order])
         level = np.minimum(255, np.ceil(4 * np.log2(sizes))).astype(np.uint8)
         out = np.empty(len(every), np.uint8)
         out[order] = level[group]
         ends = np.cumsum([len(b) for b in blobs])
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "levels": pa.array([out[e - len(b) : e].tobytes() for b, e in zip(blobs, ends, strict=True)], pa.binary())})
 
-    asked = dealt.groupBy("chunk").applyInArrow(keys, "chunk int, bucket int, keys binary")
+    asked = dealt.groupBy("chunk").applyInArrow(keys, "chunk int, bucket int, keys binary, counts binary")
     return asked.groupBy("bucket").applyInArrow(count, "chunk int, bucket int, levels binary")
 
 
@@ -109,11 +111,8 @@ def points(docs: DataFrame) -> DataFrame:
 
     def describe(texts: pa.Table, levels: pa.Table) -> pa.Table:
         h, ends = shingle_sets(texts_of(texts))
-        bucket = (h >> np.uint64(64 - log2)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        blobs = dict(zip(levels.column("bucket").to_pylist(), levels.column("levels").to_pylist(), strict=True))
-        level = np.empty(len(h), np.uint8)
-        level[order] = np.frombuffer(b"".join(blobs[b] for b in sorted(blobs)), np.uint8)
+        blobs = sorted(zip(levels.column("bucket").to_pylist(), levels.column("levels").to_pylist(), strict=True))
+        level = np.frombuffer(b"".join(x for _, x in blobs), np.uint8)[np.unique(h, return_inverse=True)[1]]
         out = {"n": [], "high": [], "low": [], "rare": [], "members": []}
         start = 0
         for end in ends.tolist():
