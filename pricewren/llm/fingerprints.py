@@ -96,8 +96,9 @@ def edited_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     tops = rows.groupBy("bucket").agg(F.max("doc_id").alias("top"))
     firsts = rows.join(tops, "bucket").where(F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("bucket").agg(F.min("text").alias("text"))
     buckets = [r["bucket"] for r in tops.select("bucket").collect()]  # one number a range
-    before = {b: a for a, b in zip(sorted(buckets), sorted(buckets)[1:] + sorted(buckets)[:1], strict=True)}
-    follows = F.create_map(*(F.lit(x) for a, b in before.items() for x in (a, b))) if before else F.create_map()
+    # a range's first row follows the last row of the range above it
+    above = dict(zip(sorted(buckets), sorted(buckets)[1:] + sorted(buckets)[:1], strict=True))
+    follows = F.create_map(*(F.lit(x) for pair in above.items() for x in pair)) if above else F.create_map().cast("map<int,int>")
     extra = firsts.select(F.lit(None).cast("long").alias("doc_id"), "text", follows[F.col("bucket")].cast("int").alias("bucket"), F.lit(1).alias("extra"))
     dealt = rows.withColumn("extra", F.lit(0)).unionByName(extra).repartition(n, "bucket")
     order = Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").desc_nulls_last(), "text")
