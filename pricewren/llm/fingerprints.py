@@ -29,28 +29,27 @@ def _uniform(h: Column, part: int) -> Column:
     return (F.shiftrightunsigned(h, 21 * part).bitwiseAND(F.lit(PART)).cast("double") + 0.5) * (2.0**-21)
 
 
-def draw(terms: DataFrame, term: str, log_weight: str, rest: list[Column], samples: int = SAMPLES) -> DataFrame:
-    """rest and ``drawn``: the samples' longs for each row's term.
+def draw(terms: DataFrame, part: str, samples: int = SAMPLES) -> DataFrame:
+    """part, rows, known (the term isn't null) and ``drawn`` (the samples' longs) for terms with columns part, rows, term and log_weight.
 
-    The steps are projections of their own, so that no part is computed twice. Each holds a lambda, which keeps it
-    out of whole-stage code: many small methods are compiled where one large one would not be.
+    The steps are projections of their own, so that no part is computed twice. Each passes rows through a lambda,
+    which keeps it out of whole-stage code: many small methods are compiled there where one would be too large to be.
     """
     each = range(samples)
-    apart = F.transform(F.array(F.lit(0)), lambda x: x).alias("apart")
-    names = [f"rest{k}" for k in range(len(rest))]
-    t = terms.select(*(c.alias(n) for c, n in zip(rest, names, strict=True)), F.col(log_weight).alias("w"), apart, F.array(*(F.xxhash64(term, F.lit(2 * k)) for k in each)).alias("h"), F.array(*(F.xxhash64(term, F.lit(2 * k + 1)) for k in each)).alias("g"))
+    held = F.transform("rows", lambda x: x).alias("rows")
+    t = terms.select(part, held, F.col("term").isNotNull().alias("known"), F.col("log_weight").alias("w"), F.array(*(F.xxhash64("term", F.lit(2 * k)) for k in each)).alias("h"), F.array(*(F.xxhash64("term", F.lit(2 * k + 1)) for k in each)).alias("g"))
     h, g = F.col("h"), F.col("g")
     r = F.array(*(-F.log(_uniform(h[k], 0) * _uniform(h[k], 1)) for k in each))
     log_c = F.array(*(F.log(-F.log(_uniform(g[k], 0) * _uniform(g[k], 1))) for k in each))
-    t = t.select(*names, "w", "g", F.transform("apart", lambda x: x).alias("apart"), r.alias("r"), log_c.alias("c"), F.array(*(_uniform(h[k], 2) for k in each)).alias("b"))
-    t = t.select(*names, "g", "r", "c", "b", F.transform("apart", lambda x: x).alias("apart"), F.array(*(F.floor(F.col("w") / F.col("r")[k] + F.col("b")[k]) for k in each)).alias("t"))
+    t = t.select(part, held, "known", "w", "g", r.alias("r"), log_c.alias("c"), F.array(*(_uniform(h[k], 2) for k in each)).alias("b"))
+    t = t.select(part, held, "known", "g", "r", "c", "b", F.array(*(F.floor(F.col("w") / F.col("r")[k] + F.col("b")[k]) for k in each)).alias("t"))
 
     def long(k: int) -> Column:
         log_a = F.col("c")[k] - F.col("r")[k] * (F.col("t")[k].cast("double") - F.col("b")[k] + 1.0)
         pair = g[k].bitwiseXOR(F.col("t")[k] * 2_654_435_761).bitwiseAND(F.lit(LOW))
         return F.shiftleft(((log_a + 128.0) * 2.0**32).cast("long"), 22).bitwiseOR(pair)
 
-    return t.select(*names, F.transform("apart", lambda x: x).alias("apart"), F.array(*map(long, each)).alias("drawn"))
+    return t.select(part, held, "known", F.array(*map(long, each)).alias("drawn"))
 
 
 def signatures(rows: DataFrame, part: str, key: str, text: str, samples: int = SAMPLES) -> DataFrame:
@@ -63,8 +62,8 @@ def signatures(rows: DataFrame, part: str, key: str, text: str, samples: int = S
     words = rows.select(part, key, F.explode(F.split(F.lower(text), SPACES)).alias("word"))
     terms = words.select(part, key, F.when(F.col("word") != "", F.xxhash64("word")).alias("term")).groupBy(part, key, "term").agg(F.count(F.lit(1)).alias("n"))
     shared = terms.groupBy(part, "term", "n").agg(F.collect_list(key).alias("rows")).withColumn("log_weight", F.log(F.col("n").cast("double")))
-    drawn = draw(shared, "term", "log_weight", [F.col(part), F.col("rows"), F.col("term").isNotNull()], samples)
-    each = drawn.select(F.col("rest0").alias(part), F.explode("rest1").alias(key), F.when(F.col("rest2"), F.col("drawn")).alias("drawn"))
+    # a text without words has the null term alone, which draws nothing
+    each = draw(shared, part, samples).select(part, F.explode("rows").alias(key), F.when(F.col("known"), F.col("drawn")).alias("drawn"))
     least = each.groupBy(part, key).agg(*(F.min(F.col("drawn")[k]).alias(f"s{k}") for k in range(samples)))
     return least.select(part, key, F.array(*(F.coalesce(f"s{k}", F.lit(-1)).bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(samples))).alias("signature"))
 
