@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 @lru_cache(maxsize=2)
 def _folds(form: str) -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Signs below U+2200 that a Unicode decomposition turns into others: one-to-one pairs, and one-to-many."""
+    """Signs below U+2200 and Latin ligatures that a Unicode decomposition turns into others: one-to-one pairs, and one-to-many."""
     source, target, many = [], [], []
-    for code in range(0x80, 0x2200):
+    for code in (*range(0x80, 0x2200), *range(0xFB00, 0xFB07)):
         sign = chr(code)
         folded = unicodedata.normalize(form, sign)
         kept = "".join(c for c in folded if not unicodedata.category(c).startswith("M"))
