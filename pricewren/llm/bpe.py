@@ -269,7 +269,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def whole(batches):
         bpe = load(tokenizer)
-        for batch in batches:
+        for batch in (b.slice(a, 2500) for b in batches for a in range(0, b.num_rows, 2500)):  # bounds the arrays of ids
             ids, ends = bpe.encode_batch(texts_of(batch))
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
             parts = [ids[a:b] for a, b in zip(starts, ends, strict=True)]

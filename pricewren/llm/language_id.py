@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewren.llm.common import ragged_take, texts_of
+from pricewren.llm.common import texts_of
 
 WINDOW = 64
 HIDDEN = 8
@@ -90,11 +90,22 @@ class ByteBiGru:
 
     def documents(self, data: np.ndarray, lengths: np.ndarray, block: int = 1024) -> np.ndarray:
         """Mean probabilities (docs, C) over the bytes of each document; data: all their bytes."""
+        ends = np.cumsum(lengths)
+        out = np.zeros((len(lengths), len(self.classes)))
+        a = 0
+        while a < len(lengths):  # some documents at a time, so what is held doesn't follow the batch
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] - lengths[a] + (2 << 20), side="right")))
+            out[a:b] = self._documents(data[ends[a] - lengths[a] : ends[b - 1]], lengths[a:b], block)
+            a = b
+        return out
+
+    def _documents(self, data: np.ndarray, lengths: np.ndarray, block: int) -> np.ndarray:
         counts = -(-lengths // WINDOW)
         first = np.cumsum(counts) - counts
         windows = np.full((int(counts.sum()), WINDOW), 32, np.uint8)
-        places, _ = ragged_take(first * WINDOW, lengths, np.arange(len(lengths)))
-        windows.reshape(-1)[places] = data
+        flat = windows.reshape(-1)
+        for at, start, size in zip((first * WINDOW).tolist(), (np.cumsum(lengths) - lengths).tolist(), lengths.tolist(), strict=True):
+            flat[at : at + size] = data[start : start + size]
         sizes = np.full(len(windows), WINDOW)
         full = counts > 0
         sizes[(first + counts - 1)[full]] = lengths[full] - (counts[full] - 1) * WINDOW
@@ -236,7 +247,7 @@ def predict(docs: DataFrame, net: ByteBiGru | None) -> DataFrame:
 
     def run(batches):
         model = ByteBiGru.from_json(weights) if weights else None
-        for batch in batches:
+        for batch in (whole.slice(a, 1000) for whole in batches for a in range(0, whole.num_rows, 1000)):
             table = pa.Table.from_batches([batch])
             if model and batch.num_rows:
                 texts = texts_of(batch)
