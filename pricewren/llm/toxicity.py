@@ -38,8 +38,8 @@ STEM_SIZES = (4, 5, 6, 7)
 SAMPLE, SAMPLE_CHARS = 4000, 30_000
 #: Learned entries at most, the least documents one is seen in, and the least likelihood ratio.
 ENTRIES, LEAST_DOCS, LEAST_RATIO = 5000, 4, 24.0
-#: Learned terms that misspelled words may reach: so many, the most significant, and none shorter.
-FUZZY_TERMS, FUZZY_CHARS = 300, 7
+#: The shortest terms that misspelled words may reach.
+FUZZY_CHARS = 5
 
 
 class LevenshteinAutomaton:
@@ -70,46 +70,32 @@ class LevenshteinAutomaton:
 class Lexicon:
     """Terms and stems with weights; lookups go through the trie of the terms."""
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], fuzzy: list[str] | None = None):
-        """fuzzy: the terms that a misspelled word may reach; all if not given."""
+    def __init__(self, terms: dict[str, float], stems: dict[str, float]):
         self.terms, self.stems = terms, stems
-        self.fuzzy = sorted(terms) if fuzzy is None else fuzzy
         self.trie: dict = {}
-        for term in self.fuzzy:
+        # a word within one edit of a term is the term, or shares a string that either becomes by losing one sign
+        self.shortened: set[str] = set()
+        fuzzy = [t for t in terms if len(t) >= FUZZY_CHARS]
+        for term in fuzzy:
             node = self.trie
             for sign in term:
                 node = node.setdefault(sign, {})
             node[""] = term
-        # a word within one edit of a term keeps the term's first or second half whole, and nearly its length
-        self.heads: dict[str, set[int]] = {}
-        self.tails: dict[str, set[int]] = {}
-        for term in self.fuzzy:
-            if len(term) >= 5:
-                half, sizes = len(term) // 2, {len(term) - 1, len(term), len(term) + 1}
-                self.heads.setdefault(term[:half], set()).update(sizes)
-                self.tails.setdefault(term[half:], set()).update(sizes)
-        self.head_sizes, self.tail_sizes = (sorted({len(x) for x in d}) for d in (self.heads, self.tails))
-        self.longest = max(map(len, self.fuzzy), default=0) + 1
+            self.shortened.update((term, *(term[:i] + term[i + 1 :] for i in range(len(term)))))
+        self.longest = max(map(len, fuzzy), default=0) + 1
         self.seen: dict[str, tuple[float, int] | None] = {}
 
     def _may_be_near(self, word: str) -> bool:
-        n = len(word)
-        if n > self.longest:
+        if len(word) > self.longest:
             return False
-        for k in self.head_sizes:
-            if n in self.heads.get(word[:k], ()):
-                return True
-        for k in self.tail_sizes:
-            if n in self.tails.get(word[-k:], ()):
-                return True
-        return False
+        return word in self.shortened or any(word[:i] + word[i + 1 :] in self.shortened for i in range(len(word)))
 
     def _near(self, word: str) -> tuple[float, int] | None:
         """The heaviest term at distance one, remembered for words that may be near one."""
         if word not in self.seen:
             if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
-            near = [self.terms[t] for t, _ in self.intersect(word) if len(t) >= 5]
+            near = [self.terms[t] for t, _ in self.intersect(word)]
             self.seen[word] = (max(near), 1) if near else None
         return self.seen[word]
 
@@ -145,7 +131,9 @@ class Lexicon:
         return self._near(word) if self._may_be_near(word) else None
 
 
-FEATURES = 9
+#: Hits in running text: 0 to 2 counts by kind, 5 and 6 sum and greatest of weights, 7 with another hit near, 8 a hundred words, 9 weights of misspelled
+#: words; 3 and 4 count and weights of quoted or reported hits.
+FEATURES = 10
 
 
 def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
@@ -185,6 +173,7 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
             row[5] += weight
             row[6] = max(row[6], weight)
             row[7] += near
+            row[9] += weight * (kind == 1)
     lengths = np.diff(offsets)
     out[:, 8] = 100 * out[:, :3].sum(axis=1) / np.maximum(lengths, 20)
     return np.log1p(np.maximum(out, 0))
@@ -198,12 +187,12 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(features(texts, self.lexicon) @ self.weights + self.bias, -30, 30)))
 
     def to_json(self) -> str:
-        return json.dumps({"terms": self.lexicon.terms, "stems": self.lexicon.stems, "fuzzy": self.lexicon.fuzzy, "weights": self.weights.tolist(), "bias": self.bias})
+        return json.dumps({"terms": self.lexicon.terms, "stems": self.lexicon.stems, "weights": self.weights.tolist(), "bias": self.bias})
 
     @classmethod
     def from_json(cls, text: str) -> ToxicityModel:
         got = json.loads(text)
-        return cls(Lexicon(got["terms"], got["stems"], got["fuzzy"]), np.array(got["weights"]), got["bias"])
+        return cls(Lexicon(got["terms"], got["stems"]), np.array(got["weights"]), got["bias"])
 
 
 def default_model() -> ToxicityModel:
@@ -260,8 +249,7 @@ def learn_lexicon(texts: list[str], labels: np.ndarray) -> Lexicon:
         if not any(entry[:k] in best_stems for k in STEM_SIZES if k < len(entry)):
             best_stems[entry] = w
     best = {entry: w for _, entry, w in sorted(weigh(terms), key=lambda x: (-x[0], x[1]))[:ENTRIES]}
-    fuzzy = [t for t in best if len(t) >= FUZZY_CHARS][:FUZZY_TERMS]
-    return Lexicon(dict.fromkeys(SEED_TERMS, 4.0) | best, best_stems, sorted({*SEED_TERMS, *fuzzy}))
+    return Lexicon(dict.fromkeys(SEED_TERMS, 4.0) | best, best_stems)
 
 
 def fit(texts: list[str], labels: np.ndarray, rounds: int = 600, rate: float = 0.3, ridge: float = 1e-3) -> ToxicityModel:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -148,6 +149,34 @@ def test_automaton_equals_edit_distance():
     assert lexicon.look_up("harmless") is None
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(last + (x != y), row[j] + 1, row[j + 1] + 1)
+    return row[-1]
+
+
+def test_misspelled_words_reach_every_term():
+    """Of any rank and from five letters on, as brute force finds them."""
+    rng = random.Random(4)
+    word = lambda a, b: "".join(rng.choice("bcdfglmnprstvz") for _ in range(rng.randint(a, b)))
+    long_, short = sorted({word(8, 11) for _ in range(330)}), ["brank", "vogtig"]
+    bad = [" ".join([*rng.sample(long_, 40), *rng.sample(short, 1), *(word(4, 9) for _ in range(20))]) for _ in range(300)]
+    good = [" ".join(word(4, 9) for _ in range(60)) for _ in range(300)]
+    lexicon = toxicity.learn_lexicon(bad + good, np.array([1] * 300 + [0] * 300))
+    assert {*long_, *short} <= lexicon.terms.keys()
+    for term in (*long_, *short):
+        assert lexicon.look_up(term[0] + "w" + term[2:])[1] in (1, 2)
+    assert lexicon.look_up("brxnk") == (lexicon.terms["brank"], 1)
+    terms = {word(4, 7): float(i) for i in range(300)}
+    lexicon = toxicity.Lexicon(terms, {})
+    for probe in {word(4, 8) for _ in range(2000)} | {t[:2] + t[3:] for t in terms if len(t) > 4}:
+        near = [w for t, w in terms.items() if len(t) >= 5 and _edits(t, probe) <= 1]
+        assert lexicon.look_up(probe) == ((terms[probe], 0) if probe in terms else (max(near), 1) if near else None)
+
+
 def test_toxicity(spark, docs, no_docs):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
     marked = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" you stup1d idiot"))).otherwise(F.col("text")))
