@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,6 +29,9 @@ SEED_TERMS = ("idiot", "idiots", "moron", "stupid", "loser", "losers", "pathetic
 SPEECH = frozenset(("said", "says", "called", "wrote", "quoted", "quote", "word", "term", "dijo", "dit", "sagte", "schrieb"))
 QUOTES = "\"'`«»“”„‘’"
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…¿¡–—"
+#: What joins words, and what is neither a letter nor a sign that may stand for one.
+JOINTS = re.compile(r"[-\u2010-\u2015\u2212/\\|'`´‘’.,:;…+=&_~()\[\]{}<>\"«»“”„]+")
+OTHERS = re.compile(r"[^\w@$]+")
 LEET = str.maketrans("013457@$", "oieastas")
 #: Words that may be near a term, which a worker remembers before it starts anew.
 REMEMBERED = 200_000
@@ -112,23 +116,51 @@ class Lexicon:
                 elif nxt := automaton.step(state, sign):
                     open_.append((below, nxt))
 
-    def look_up(self, raw: str) -> tuple[float, int] | None:
-        """Weight and distance (0 exact, 1 misspelled, 2 a stem) of a lower-case word, or None."""
-        word = plain = raw.strip(EDGES)
+    def _one(self, word: str) -> tuple[float, int] | None:
+        """Weight and kind of a word without joints; a sign that isn't a letter is one edit, unless it stands for one."""
         if len(word) < 4:
             return None
-        if not word.isalpha():
-            word = plain.translate(LEET)
-            if word == plain or not word.isalpha():
-                return None
-        weight = self.terms.get(word)
-        if weight is not None:
-            return weight, 0 if plain is word else 1
-        for k in STEM_SIZES:
-            weight = self.stems.get(word[:k])
-            if weight is not None and len(word) > k:
-                return weight, 2
-        return self._near(word) if self._may_be_near(word) else None
+        plain, read = word, word if word.isalpha() else word.translate(LEET)
+        if read.isalpha():
+            weight = self.terms.get(read)
+            if weight is not None:
+                return weight, 0 if plain is read else 1
+            for k in STEM_SIZES:
+                weight = self.stems.get(read[:k])
+                if weight is not None and len(read) > k:
+                    return weight, 2
+        for form in dict.fromkeys((read, plain)):
+            if self._may_be_near(form) and (hit := self._near(form)):
+                return hit
+        return None
+
+    def hits(self, raw: str) -> list[tuple[float, int]]:
+        """Weight and kind (0 exact, 1 misspelled, 2 a stem) of each term in a lower-case word and in the words joined in it."""
+        word = raw.strip(EDGES)
+        if word.isalpha():
+            hit = self._one(word)
+            return [hit] if hit else []
+        pieces = [m.span() for m in re.finditer(r"\S+", JOINTS.sub(lambda m: " " * len(m[0]), word))]
+        found: list[list[tuple[float, int]]] = []
+        for start, end in pieces:
+            piece = word[start:end]
+            hit = self._one(piece)
+            # a sign that is no edit of a term may still stand between two
+            found.append([hit] if hit else [h for part in OTHERS.split(piece) if part != piece and (h := self._one(part))])
+        out = [h for own in found for h in own]
+        # a joint inside a term is one edit: neighbours that are nothing by themselves are looked up with it
+        k = 0
+        while k + 1 < len(pieces):
+            pair = word[pieces[k][0] : pieces[k + 1][1]]
+            if not found[k] and not found[k + 1] and self._may_be_near(pair) and (hit := self._near(pair)):
+                out.append(hit)
+                k += 1
+            k += 1
+        return out
+
+    def look_up(self, raw: str) -> tuple[float, int] | None:
+        """The heaviest hit in a lower-case word, or None."""
+        return max(self.hits(raw), default=None)
 
 
 #: Hits in running text: 0 to 2 counts by kind, 5 and 6 sum and greatest of weights, 7 with another hit near, 8 a hundred words, 9 weights of misspelled
@@ -140,7 +172,7 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     """A row of FEATURES numbers for each text."""
     words, picks, offsets = split_words(pc.utf8_lower(texts))
     vocabulary = words.to_pylist()
-    found = {i: hit for i, w in enumerate(vocabulary) if (hit := lexicon.look_up(w))}
+    found = {i: hits for i, w in enumerate(vocabulary) if (hits := lexicon.hits(w))}
     out = np.zeros((len(offsets) - 1, FEATURES))
     if not found:
         return out
@@ -157,23 +189,24 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
         return quotes[k]
 
     for i, (place, doc) in enumerate(zip(at.tolist(), docs.tolist(), strict=True)):
-        weight, kind = found[picks[place]]
+        hits = found[picks[place]]
         start, end = max(int(offsets[doc]), place - CONTEXT), min(int(offsets[doc + 1]), place + CONTEXT + 1)
         before, after = picks[start:place], picks[place + 1 : end]
         own = marks(int(picks[place]))
         quoted = own >= 2 or (sum(marks(int(k)) for k in before) + (own and vocabulary[picks[place]][0] in QUOTES)) % 2 == 1
         reported = any(vocabulary[k].strip(EDGES) in SPEECH for k in before[-3:])
-        near = (i > 0 and docs[i - 1] == doc and place - at[i - 1] <= CONTEXT) or (i + 1 < len(at) and docs[i + 1] == doc and at[i + 1] - place <= CONTEXT)
+        near = len(hits) > 1 or (i > 0 and docs[i - 1] == doc and place - at[i - 1] <= CONTEXT) or (i + 1 < len(at) and docs[i + 1] == doc and at[i + 1] - place <= CONTEXT)
         row = out[doc]
-        if quoted or reported:
-            row[3] += 1
-            row[4] += weight
-        else:
-            row[kind] += 1
-            row[5] += weight
-            row[6] = max(row[6], weight)
-            row[7] += near
-            row[9] += weight * (kind == 1)
+        for weight, kind in hits:
+            if quoted or reported:
+                row[3] += 1
+                row[4] += weight
+            else:
+                row[kind] += 1
+                row[5] += weight
+                row[6] = max(row[6], weight)
+                row[7] += near
+                row[9] += weight * (kind == 1)
     lengths = np.diff(offsets)
     out[:, 8] = 100 * out[:, :3].sum(axis=1) / np.maximum(lengths, 20)
     return np.log1p(np.maximum(out, 0))
@@ -219,12 +252,18 @@ def _family(words: set[str]) -> tuple[int, ...]:
     return tuple(sorted(xxhash.xxh3_64_intdigest(w) for w in words)[:3])
 
 
+def parts(raw: str) -> list[str]:
+    """The words that a word is made of, without the signs at their edges."""
+    word = raw.strip(EDGES)
+    return [word] if word.isalpha() else [x.strip(EDGES) for x in JOINTS.split(word)]
+
+
 def learn_lexicon(texts: list[str], labels: np.ndarray) -> Lexicon:
     """Seed terms, and terms and stems that toxic documents have significantly more often.
 
     Of near copies only the first counts, so that a copied document's words don't look significant.
     """
-    own_words = [{c for w in set(t.lower().split()) if len(c := w.strip(EDGES)) >= 4 and c.isalpha()} for t in texts]
+    own_words = [{c for w in set(t.lower().split()) for c in parts(w) if len(c) >= 4 and c.isalpha()} for t in texts]
     families: dict[tuple, int] = {}
     for i, own in enumerate(own_words):
         families.setdefault((int(labels[i]), *_family(own)), i)

@@ -177,6 +177,26 @@ def test_misspelled_words_reach_every_term():
         assert lexicon.look_up(probe) == ((terms[probe], 0) if probe in terms else (max(near), 1) if near else None)
 
 
+def test_terms_in_joined_and_masked_words():
+    lexicon = toxicity.Lexicon({"idiot": 3.0, "moron": 2.0, "trash": 1.0}, {"scumb": 4.0})
+    for word in ("idiot's", "idiot’s", "idiot-you", "idiot—you", "you/idiot", "(idiot).", "idiot...you", "idiot,you", "idiot!you", "idiot*you", "l'idiot"):
+        assert lexicon.hits(word) == [(3.0, 0)], word
+    for word in ("id*ot", "id!ot", "idi?ot", "id*ot's", "you-id*ot", "1d10t", "1d10t's", "id#0t"):
+        assert lexicon.hits(word) == [(3.0, 1)], word
+    for word in ("mor-on", "mor'on", "mor–on", "mor-n", "mor-on's", "you-mor-on"):
+        assert lexicon.hits(word) == [(2.0, 1)], word
+    assert lexicon.hits("moron/idiot") == [(2.0, 0), (3.0, 0)]
+    assert lexicon.hits("scumbags/idiots") == [(4.0, 2), (3.0, 1)]
+    assert lexicon.look_up("moron/idiot") == (3.0, 0)
+    for word in ("", "-", "--//", "it's", "i-d-i-o-t", "2024-01-01", "http://a.b/c?d=e", "don't/won't"):
+        assert lexicon.hits(word) == [], word
+    counts = toxicity.features(pa.array(["moron/idiot", "you", None], pa.large_string()).fill_null(""), lexicon)
+    assert counts[0, 0] == pytest.approx(math.log(3))
+    assert not counts[1:].any()
+    texts = [f"{'grambol-you' if i < 60 else 'fine'} " + " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(9)) for i in range(120)]
+    assert "grambol" in toxicity.learn_lexicon(texts, np.array([1] * 60 + [0] * 60)).terms
+
+
 def test_toxicity(spark, docs, no_docs):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
     marked = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" you stup1d idiot"))).otherwise(F.col("text")))
