@@ -35,16 +35,23 @@ def similarity(a: Column, b: Column) -> Column:
     return jaccard(trigrams(a), trigrams(b))
 
 
+def _with(value: Column, of) -> Column:
+    """of(value), with value computed once: lambdas would compute it anew for each element."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def word_similarity(a: Column, b: Column) -> Column:
-    """The greatest share that a's trigrams have with those of any stretch of b's ordered trigrams."""
-    q, t = trigrams(a), ordered_trigrams(b)
-    n = F.size(t)
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    """The greatest share that a's trigrams have with those of any stretch of b's ordered trigrams.
 
-    def best_from(i):
-        return F.array_max(F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: jaccard(q, F.slice(t, i, k))))
+    Only stretches that start and end with one of a's trigrams are compared: others do better without their ends.
+    """
+    def best(x):
+        q, t = x["q"], x["t"]
+        held = F.filter(F.transform(t, lambda g, i: F.when(F.array_contains(q, g), i + 1)), lambda i: i.isNotNull())
+        share = lambda i, j: jaccard(q, F.slice(t, i, j - i + 1))
+        return _with(held, lambda at: F.array_max(F.transform(at, lambda i: F.array_max(F.transform(F.filter(at, lambda j: j >= i), lambda j: share(i, j))))))
 
-    return F.coalesce(F.array_max(F.transform(starts, best_from)), F.lit(0.0))
+    return F.coalesce(_with(F.struct(trigrams(a).alias("q"), ordered_trigrams(b).alias("t")), best), F.lit(0.0))
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewren.functions.similarity import trigrams
+from pricewren.functions.similarity import trigrams, word_similarity
 from pricewren.operators.topk import top_k
 
 
@@ -36,6 +36,28 @@ def similarity_join(left: DataFrame, right: DataFrame, key: str, text: str, thre
     return scored.select("left_key", "right_key", value.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def word_similarity_join(left: DataFrame, right: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """left_key, right_key and ``similarity`` (word similarity of left in right) of all pairs at threshold or above.
+
+    No stretch of a right-hand text holds more of the left-hand text's n trigrams than all of it does, so a pair at
+    threshold t shares t n of them, and one of any n - ceil(t n) + 1: the rarest on the right are taken.
+    """
+    def sets(df: DataFrame, name: str, body: str, grams: str) -> DataFrame:
+        return df.select(F.col(key).alias(name), F.col(text).alias(body), trigrams(F.col(text)).alias(grams)).where(F.size(grams) > 0)
+
+    a, b = sets(left, "left_key", "left_text", "grams"), sets(right, "right_key", "right_text", "grams2")
+    postings = b.select("right_key", F.explode("grams2").alias("g"))
+    counts = postings.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    ranked = a.select("left_key", F.size("grams").alias("size"), F.explode("grams").alias("g")).join(counts, "g", "left")
+    sorted_ = ranked.groupBy("left_key").agg(F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("s"))
+    length = (F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9) + 1).cast("int")
+    prefix = sorted_.select("left_key", F.explode(F.slice("s", F.lit(1), length)).alias("s")).select("left_key", "s.g")
+    pairs = prefix.join(postings, "g").select("left_key", "right_key").distinct()
+    both = pairs.join(a, "left_key").join(b, "right_key")
+    held = both.where(F.size(F.array_intersect("grams", "grams2")) >= F.size("grams") * F.lit(threshold) - 1e-9)
+    return held.select("left_key", "right_key", word_similarity(F.col("left_text"), F.col("right_text")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
 def best_candidates(left: DataFrame, right: DataFrame, key: str, text: str, threshold: float, k: int) -> DataFrame:
     """The k most similar right-hand keys of each left-hand key, with their rank."""
     return top_k(similarity_join(left, right, key, text, threshold), ["left_key"], [F.col("similarity").desc(), F.col("right_key")], k)

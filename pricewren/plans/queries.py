@@ -266,12 +266,14 @@ def fuzzy_top_candidates(spark, sf_dir):
 
 @query()
 def word_similarity(spark, sf_dir):
-    """FN-SIM-02, FN-SIM-03: brand-like phrases against the names that share a word."""
-    n = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    words = n.select(F.explode(F.split("name", " ")).alias("word")).distinct()
-    pairs = words.join(n.select("name", F.explode(F.split("name", " ")).alias("word")), "word")
-    ws = similarity.word_similarity(F.col("word"), F.col("name"))
-    return pairs.select("word", "name", ws.alias("ws"), F.greatest(ws, similarity.similarity(F.col("word"), F.col("name"))).alias("best"))
+    """FN-SIM-02, FN-SIM-03: brand phrases and altered names against the names, pairs with a word similarity of 0.3 or more."""
+    p = table(spark, sf_dir, "part")
+    n = p.select(F.col("p_name").alias("name")).distinct().withColumn("k", F.col("name"))
+    phrase = F.explode(F.array(F.concat_ws(" ", "p_brand", "p_name"), F.concat("p_name", F.lit("s")))).alias("name")
+    phrases = p.select(phrase).distinct().withColumn("k", F.col("name"))
+    pairs = fuzzy.word_similarity_join(phrases, n, "k", "name", 0.3)
+    whole = similarity.similarity(F.col("left_key"), F.col("right_key"))
+    return pairs.select(F.col("left_key").alias("word"), F.col("right_key").alias("name"), F.col("similarity").alias("ws"), F.greatest("similarity", whole).alias("best"))
 
 
 @query()

@@ -52,6 +52,29 @@ def test_similarity_join_equals_brute_force(spark):
         assert rows(got) == rows(want)
 
 
+def _grams(text):
+    words = "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
+    return [f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)]
+
+
+def _word_similarity(a, b):
+    q, t = set(_grams(a)), _grams(b)
+    return max((len(q & set(t[i:j])) / len(q | set(t[i:j])) for i in range(len(t)) for j in range(i + 1, len(t) + 1)), default=0.0)
+
+
+LONG_NAMES = ["hidroclorotiazida losartan potasico", "hidroclorotiazida", "losartan potasico", "acetaminofen codeina jarabe", "acido acetilsalicilico tabletas", "amoxicilina acido clavulanico", "", None]
+TYPED_NAMES = ["hidroclorotiazidas losartan", "hidroclorotiazida", "acetaminofem codeina jarabe", "codeina", "acido acetilsalicilicos", "amoxicilinas acido clavulanico", "zz", "", None]
+
+
+def test_word_similarity_join_equals_brute_force(spark):
+    left = spark.createDataFrame([(str(i), n) for i, n in enumerate(TYPED_NAMES)], "k string, t string")
+    right = spark.createDataFrame([(str(i), n) for i, n in enumerate(LONG_NAMES)], "k string, t string")
+    for threshold in (0.1, 0.3, 0.6, 0.88, 1.0):
+        want = [(str(i), str(j), round(s, 9)) for i, a in enumerate(TYPED_NAMES) for j, b in enumerate(LONG_NAMES) if (s := _word_similarity(a, b)) >= threshold]
+        got = fuzzy.word_similarity_join(left, right, "k", "t", threshold).select("left_key", "right_key", F.round("similarity", 9))
+        assert rows(got) == sorted(want, key=str)
+
+
 def test_linkage_gives_one_row_each(spark):
     catalog = spark.createDataFrame([(1, "acetaminofen 500 mg"), (2, "acetaminofen 1 g"), (3, "ibuprofeno")], "item int, name string")
     q = spark.createDataFrame([(10, "ACETAMINOFEN 500MG"), (11, "ibuprofenoo"), (12, "zz"), (13, "ibuprofeno oral"), (14, None), (15, "zz")], "id int, name string")

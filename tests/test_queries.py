@@ -25,6 +25,14 @@ def plain(names, rows):
     return sorted((tuple(f"{r[i]:.9g}" if isinstance(r[i], float) else str(r[i]) for i in order) for r in rows))
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
+def test_word_similarity_ranks_partial_matches(spark):
+    got = QUERIES["word_similarity"](spark, SF).collect()
+    assert len({(r["word"], r["name"]) for r in got}) == len(got)
+    assert all(0.3 <= r["ws"] <= r["best"] <= 1 for r in got)
+    assert any(r["ws"] < 1 for r in got)
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
