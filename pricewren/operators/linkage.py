@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewren.functions.similarity import trigrams, word_similarity
 from pricewren.functions.text import dose_tokens, search_text
-from pricewren.operators.fuzzy import similarity_join
+from pricewren.operators.fuzzy import similarity_join, word_similarity_join
 from pricewren.operators.topk import first_of
 
 #: Least similarity of the word and the trigram stages.
@@ -23,8 +22,8 @@ def link(queries: DataFrame, catalog: DataFrame, dictionary: DataFrame | None =
     """One row for each row of queries (id, name): id, ``item``, ``stage`` and ``confidence``.
 
     catalog: item, name. dictionary: name (as search_text makes it), item. Names are compared as search_text; ties go
-    to the least item. Every stage only sees what earlier ones left, and every stage is an equi-join: on names, on
-    a word of the name, or on shared rare trigrams.
+    to the least item. Every stage only sees what earlier ones left, and every stage is an equi-join: on names or on
+    shared rare trigrams.
     """
     named = queries.select(F.col("id").alias("row_id"), search_text(F.col("name")).alias("name"), dose_tokens(F.col("name")).alias("dose"))
     # rows with the same name and dose are linked once
@@ -43,14 +42,10 @@ def link(queries: DataFrame, catalog: DataFrame, dictionary: DataFrame | None =
         take(q.join(dictionary, "name"), "dictionary", F.lit(1.0))
     ok = barrier(F.col("dose"), F.col("c_dose"))
     take(q.join(c, q["name"] == c["c_name"]).where(ok), "exact", F.lit(1.0))
-    # a word similarity of 0.88 needs whole words in common: pairs meet on the query's longest word
-    longest = F.sort_array(F.transform(F.split("name", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False)[0]["w"]
-    by_word = c.select("item", "c_name", "c_dose", F.explode(F.array_distinct(F.split("c_name", " "))).alias("word"))
-    pairs = q.withColumn("word", longest).join(by_word, "word").where(ok)
-    # no stretch of the catalog name can do better than all of it holds of the query
-    held = F.size(F.array_intersect(trigrams(F.col("name")), trigrams(F.col("c_name")))) / F.size(trigrams(F.col("name")))
-    near = pairs.where(held >= WORD).withColumn("score", word_similarity(F.col("name"), F.col("c_name"))).where(F.col("score") >= WORD)
-    take(near, "word", F.col("score"))
+    distinct = lambda df, name: df.select(F.col(name).alias("name")).distinct().withColumn("key", F.col("name"))
+    near = word_similarity_join(distinct(q, "name"), distinct(c, "c_name"), "key", "name", WORD)
+    near = near.select(F.col("left_key").alias("name"), F.col("right_key").alias("c_name"), "similarity").join(q, "name").join(c, "c_name").where(ok)
+    take(near, "word", F.col("similarity"))
     pairs = similarity_join(q.select(F.col("id").alias("key"), "name"), c.select(F.col("item").alias("key"), F.col("c_name").alias("name")), "key", "name", TRIGRAM)
     fuzzy = pairs.select(F.col("left_key").alias("id"), F.col("right_key").alias("item"), "similarity").join(q.select("id", "dose"), "id").join(c.select("item", "c_dose"), "item").where(ok)
     take(fuzzy, "trigram", F.col("similarity"))

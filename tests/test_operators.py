@@ -75,6 +75,22 @@ def test_word_similarity_join_equals_brute_force(spark):
         assert rows(got) == sorted(want, key=str)
 
 
+def test_linkage_by_word_similarity_equals_brute_force(spark):
+    catalog = spark.createDataFrame([(i, n) for i, n in enumerate(LONG_NAMES) if n], "item int, name string")
+    typed = spark.createDataFrame(list(enumerate(TYPED_NAMES)), "id int, name string")
+    got = {r["id"]: (r["item"], r["stage"]) for r in linkage.link(typed, catalog).collect()}
+    assert len(got) == len(TYPED_NAMES)
+    for i, name in enumerate(TYPED_NAMES):
+        scored = [(-s, j) for j, n in enumerate(LONG_NAMES) if n and (s := _word_similarity(name, n)) >= linkage.WORD]
+        if name in LONG_NAMES and name:
+            assert got[i] == (LONG_NAMES.index(name), "exact")
+        elif scored:
+            assert got[i] == (min(scored)[1], "word"), name
+        else:
+            assert got[i][1] in ("trigram", "none")
+    assert got[0] == (0, "word")
+
+
 def test_linkage_gives_one_row_each(spark):
     catalog = spark.createDataFrame([(1, "acetaminofen 500 mg"), (2, "acetaminofen 1 g"), (3, "ibuprofeno")], "item int, name string")
     q = spark.createDataFrame([(10, "ACETAMINOFEN 500MG"), (11, "ibuprofenoo"), (12, "zz"), (13, "ibuprofeno oral"), (14, None), (15, "zz")], "id int, name string")
