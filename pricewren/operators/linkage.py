@@ -11,6 +11,8 @@ from pricewren.operators.topk import first_of
 
 #: Least similarity of the word and the trigram stages.
 WORD, TRIGRAM = 0.88, 0.85
+#: Below the similarity of any two names that share a trigram.
+ANY = 1e-6
 
 
 def barrier(query_dose: Column, catalog_dose: Column) -> Column:
@@ -19,11 +21,14 @@ def barrier(query_dose: Column, catalog_dose: Column) -> Column:
 
 
 def link(queries: DataFrame, catalog: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """One row for each row of queries (id, name): id, ``item``, ``stage`` and ``confidence``.
+    """One row for each row of queries (id, name): id, ``item``, ``stage``, ``confidence``, ``closest``, ``closest_similarity``
+    and ``reason``.
 
     catalog: item, name. dictionary: name (as search_text makes it), item. Names are compared as search_text; ties go
     to the least item. Every stage only sees what earlier ones left, and every stage is an equi-join: on names or on
-    shared rare trigrams.
+    shared rare trigrams. A row without a match has no item, but the catalog item whose name has the greatest trigram
+    similarity of all that share any trigram with it, for review, and why it isn't a match: NO_CANDIDATES,
+    CONCENTRATION_MISMATCH (the closest item's doses differ) or BELOW_THRESHOLD.
     """
     named = queries.select(F.col("id").alias("row_id"), search_text(F.col("name")).alias("name"), dose_tokens(F.col("name")).alias("dose"))
     # rows with the same name and dose are linked once
@@ -49,8 +54,14 @@ def link(queries: DataFrame, catalog: DataFrame, dictionary: DataFrame | None =
     pairs = similarity_join(q.select(F.col("id").alias("key"), "name"), c.select(F.col("item").alias("key"), F.col("c_name").alias("name")), "key", "name", TRIGRAM)
     fuzzy = pairs.select(F.col("left_key").alias("id"), F.col("right_key").alias("item"), "similarity").join(q.select("id", "dose"), "id").join(c.select("item", "c_dose"), "item").where(ok)
     take(fuzzy, "trigram", F.col("similarity"))
-    out = q.select("id", F.lit(None).cast(catalog.schema["item"].dataType).alias("item"), F.lit("none").alias("stage"), F.lit(0.0).alias("confidence"))
+    pairs = similarity_join(distinct(q, "name"), distinct(c, "c_name"), "key", "name", ANY)
+    likely = pairs.select(F.col("left_key").alias("name"), F.col("right_key").alias("c_name"), "similarity")
+    # the best similarity first, then the least item with it: pairs of names stay pairs until one score a name is left
+    top = likely.groupBy("name").agg(F.max("similarity").alias("similarity"))
+    near = first_of(likely.join(top, ["name", "similarity"]).join(c, "c_name"), ["name"], [F.col("item")]).select("name", "similarity", F.col("item").alias("closest"), "c_dose")
+    reason = F.when(F.col("closest").isNull(), "NO_CANDIDATES").when(~ok, "CONCENTRATION_MISMATCH").otherwise("BELOW_THRESHOLD")
+    out = q.join(near, "name", "left").select("id", F.lit(None).cast(catalog.schema["item"].dataType).alias("item"), F.lit("none").alias("stage"), F.lit(0.0).alias("confidence"), "closest", F.col("similarity").alias("closest_similarity"), reason.alias("reason"))
     for part in done:
-        out = out.unionByName(part)
+        out = out.unionByName(part, allowMissingColumns=True)
     rows = named.withColumn("id", F.struct("name", "dose"))
-    return rows.join(out, "id").select(F.col("row_id").alias("id"), "item", "stage", "confidence")
+    return rows.join(out, "id").select(F.col("row_id").alias("id"), "item", "stage", "confidence", "closest", "closest_similarity", "reason")

@@ -258,7 +258,7 @@ def trigram_similarity(spark, sf_dir):
 
 @query(f"select left_key, right_key, cast(rn as integer) as rank from (select a.name as left_key, b.name as right_key, row_number() over (partition by a.name order by len(list_intersect(a.g, b.g)) * 1.0::double / len(list_distinct(a.g || b.g)) desc, b.name) as rn from {_NAMES} a, {_NAMES} b where a.name <> b.name and len(list_intersect(a.g, b.g)) * 1.0::double / len(list_distinct(a.g || b.g)) >= 0.3) where rn <= 3")
 def fuzzy_top_candidates(spark, sf_dir):
-    """JN-14, JN-15, SRT-02: the three nearest other names of each name."""
+    """JN-14, SRT-02: the three nearest other names of each name."""
     n = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("k", F.col("name"))
     pairs = fuzzy.similarity_join(n, n, "k", "name", 0.3).where("left_key <> right_key")
     return topk.top_k(pairs, ["left_key"], [F.col("similarity").desc(), F.col("right_key")], 3).select("left_key", "right_key", "rank")
@@ -278,12 +278,15 @@ def word_similarity(spark, sf_dir):
 
 @query()
 def linkage_stages(spark, sf_dir):
-    """LNK-01 to LNK-05: altered names linked to the catalog of distinct names, stage by stage."""
+    """LNK-01 to LNK-05, JN-15: altered names linked to the catalog of distinct names, stage by stage."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     catalog = p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("item"))
     k = F.col("p_partkey") % 4
     altered = F.when(k == 0, F.upper("p_name")).when(k == 1, F.concat("p_name", F.lit("s"))).when(k == 2, F.concat(F.lit("the "), F.col("p_name"))).otherwise(F.concat(F.lit("zq "), F.substring("p_name", 1, 3)))
-    return linkage.link(p.select(F.col("p_partkey").alias("id"), altered.alias("name")), catalog)
+    # synonyms for a part of the abbreviated names; the others go on to the later stages
+    synonym = F.concat(F.lit("zq "), F.substring("name", 1, 3)).alias("name")
+    dictionary = catalog.where(F.col("name") < "h").select(synonym, "item").groupBy("name").agg(F.min("item").alias("item"))
+    return linkage.link(p.select(F.col("p_partkey").alias("id"), altered.alias("name")), catalog, dictionary)
 
 
 @query("select doc_id from documents where list_contains(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), 'the') and list_contains(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), 'of')")
@@ -319,7 +322,7 @@ def vector_topk(spark, sf_dir):
 
 @query()
 def homologation_margin(spark, sf_dir):
-    """FN-SCO-01, FN-SCO-02, FN-SIM-04, SRT-04: the best candidate of each name, its margin, and whether it is accepted."""
+    """FN-SCO-02, FN-SIM-04, SRT-04: the best candidate of each name, its margin, and whether it is accepted."""
     n = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("k", F.col("name"))
     pairs = fuzzy.similarity_join(n, n, "k", "name", 0.3).where("left_key <> right_key")
     ratio = similarity.sequence_ratio("left_key", "right_key")

@@ -100,6 +100,23 @@ def test_linkage_gives_one_row_each(spark):
     assert got[12] == got[15] == got[14] == (None, "none")
 
 
+def test_unmatched_names_get_their_closest_candidate(spark):
+    catalog = spark.createDataFrame([(1, "acetaminofen 500 mg"), (2, "ibuprofeno"), (3, "ibuprofeno"), (4, "iburelax forte")], "item int, name string")
+    typed = spark.createDataFrame([(10, "acetaminofen 1 g"), (11, "ibu"), (12, "zz"), (13, "ibuprofeno"), (14, "syn x"), (15, "acido"), (16, None)], "id int, name string")
+    got = {r["id"]: r for r in linkage.link(typed, catalog, spark.createDataFrame([("syn x", 4)], "name string, item int")).collect()}
+    names = {r["item"]: r["name"] for r in catalog.collect()}
+    assert (got[14]["item"], got[14]["stage"], got[14]["reason"]) == (4, "dictionary", None)
+    assert (got[13]["item"], got[13]["stage"], got[13]["closest"]) == (2, "exact", None)
+    for i, name, reason in ((10, "acetaminofen 1 g", "CONCENTRATION_MISMATCH"), (11, "ibu", "BELOW_THRESHOLD"), (12, "zz", "NO_CANDIDATES"), (15, "acido", "CONCENTRATION_MISMATCH"), (16, "", "NO_CANDIDATES")):
+        q = set(_grams(name))
+        scored = [(-len(q & set(_grams(n))) / len(q | set(_grams(n))), item) for item, n in names.items()]
+        best = min(scored) if min(scored)[0] else (None, None)
+        assert (got[i]["item"], got[i]["stage"], got[i]["confidence"]) == (None, "none", 0.0)
+        assert got[i]["closest"] == best[1], name
+        assert got[i]["reason"] == reason
+        assert got[i]["closest_similarity"] == (None if best[0] is None else -best[0])
+
+
 def test_search(spark):
     d = spark.createDataFrame([(1, "the red ring"), (2, "red red"), (3, "blue"), (4, None)], "k int, t string")
     assert rows(d.where(search.matches_all(F.col("t"), ["red", "the"])).select("k")) == [(1,)]
