@@ -39,9 +39,10 @@ def link(queries: DataFrame, catalog: DataFrame, dictionary: DataFrame | None =
     def take(found: DataFrame, stage: str, score: Column) -> None:
         nonlocal q
         best = first_of(found.withColumn("confidence", score), ["id"], [F.col("confidence").desc(), F.col("item")])
-        got = best.select("id", "item", F.lit(stage).alias("stage"), "confidence")
+        # kept, as every later stage reads what is left: computed anew, each stage would run all before it several times
+        got = best.select("id", "item", F.lit(stage).alias("stage"), "confidence").persist()
         done.append(got)
-        q = q.join(got.select("id"), "id", "left_anti")
+        q = q.join(got.select("id"), "id", "left_anti").persist()
 
     if dictionary is not None:
         take(q.join(dictionary, "name"), "dictionary", F.lit(1.0))
