@@ -6,7 +6,7 @@ prefixes of WIDTH bytes at both are equal. Every round sorts names, merges them,
 
 A. Samples are named by their WIDTH-byte prefixes, the names sorted, and neighbours compared: which names repeat, and
    which samples have an earlier sample of their name.
-B. Names recurse: a sample whose name repeats is named anew by the names along LONG bytes (one hash of them). Where
+B. In place of a recursion on names, a sample whose name repeats is named anew by the names along LONG bytes (one hash of them). Where
    that name has an earlier place, all 100-byte strings that begin in the next V bytes have one too.
 C. The suffixes that remain are those before a sample with an earlier one in A that B doesn't settle. The names of
    the samples that they reach are sorted once more, to find which other suffixes they must be merged with.
