@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a session whose executors run in the driver's own process (local, as in tests) gets a temporary
+    folder; any other has to name one, as parts written to the executors' own disks would be missed later.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("pricewren.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         folder = tempfile.mkdtemp(prefix="pricewren-")
         spark.conf.set("pricewren.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -39,6 +46,27 @@ def hash_mod(column: str | Column, mod: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
 
 
+def text_bytes(rows: DataFrame) -> int:
+    """Bytes of UTF-8 in the text column."""
+    return rows.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 0
+
+
+def row_hash() -> Column:
+    """64 bits that tell rows with one doc_id apart by their text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that kept names by doc_id and t (row_hash); of rows that repeat both, one."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), F.col("doc_id").isNull().alias("none"), row_hash().alias("t"), F.xxhash64(*plain).alias("tie"))
+    names = kept.select(key.alias("key"), F.col("doc_id").isNull().alias("none"), "t")
+    stay = rows.join(names, ["key", "none", "t"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("key", "none", "t").orderBy("tie"))
+    return stay.withColumn("place", first).where("place = 1").select("row.*")
+
+
 def texts_of(batch: pa.RecordBatch | pa.Table, name: str = "text") -> pa.Array:
     """The text column as one large_string array, null as the empty text."""
     column = batch.column(name)
