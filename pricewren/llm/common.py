@@ -112,26 +112,26 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def range_buckets(df: DataFrame, column: str, buckets: int, most: int = 256) -> Column:
-    """A bucket number that rises with column, for about as many rows in each bucket; null is in bucket 0.
+def range_buckets(df: DataFrame, column: str, buckets: int, name: str, most: int = 256) -> DataFrame:
+    """df with ``name``, a bucket number that rises with column, for about as many rows in each bucket; null is in bucket 0.
 
-    Up to ``most`` limits are quantiles of the column, found by a binary search in the expression; where more buckets
-    are asked for, each range between two limits is split evenly.
+    Up to ``most`` limits are quantiles of the column, found by a binary search in the expression. Where more buckets
+    are asked for, each of these ranges is divided at its own quantiles, which are eight bytes a bucket to broadcast.
     """
     n = max(1, min(buckets, most))
     cuts = df.agg(F.percentile_approx(column, [k / n for k in range(n + 1)], 10_000).alias("q")).first()["q"] or [0]
-    low, high = cuts[0], cuts[-1]
     cuts = sorted(set(cuts[1:-1]))
     parts = -(-buckets // n)
 
     def search(a: int, b: int) -> Column:
         if a == b:
-            if parts == 1:
-                return F.lit(a)
-            start, end = (cuts[a - 1] if a else low), (cuts[a] if a < len(cuts) else high + 1)
-            inner = F.floor((F.col(column) - F.lit(start)).cast("double") * F.lit(parts / max(1, end - start)))
-            return F.lit(a * parts) + F.least(F.greatest(inner, F.lit(0)), F.lit(parts - 1)).cast("int")
+            return F.lit(a)
         mid = (a + b) // 2
         return F.when(F.col(column) < cuts[mid], search(a, mid)).otherwise(search(mid + 1, b))
 
-    return F.when(F.col(column).isNull(), F.lit(0)).otherwise(search(0, len(cuts))).cast("int")
+    out = df.withColumn(name, F.when(F.col(column).isNull(), F.lit(0)).otherwise(search(0, len(cuts))).cast("int"))
+    if parts == 1:
+        return out
+    inner = out.groupBy(name).agg(F.percentile_approx(column, [k / parts for k in range(1, parts)], 10_000).alias("_cuts"))
+    below = F.when(F.col(column).isNull(), F.lit(0)).otherwise(F.size(F.filter("_cuts", lambda x: x <= F.col(column))))
+    return out.join(F.broadcast(inner), name).withColumn(name, (F.col(name) * parts + below).cast("int")).drop("_cuts")

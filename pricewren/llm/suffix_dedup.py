@@ -12,8 +12,9 @@ C. The suffixes that remain are those before a sample with an earlier one in A t
    the samples that they reach are sorted once more, to find which other suffixes they must be merged with.
 D. These remaining suffixes are sorted by their 100-byte prefixes, and neighbours compared.
 
-Prefixes are sorted by 64-bit hashes rather than letter by letter: equality of prefixes and order of places are all
-that is asked. A chunk of documents sends each distinct name once, with its first place, so a name that a third of
+Prefixes are sorted by hashes rather than letter by letter: equality of prefixes and order of places are all that is
+asked. Names in A and C only choose what is looked at; what B and D settle has 96 bits, a rolling hash of 64 and 32 more
+of an independent one: of 10^13 such names, two different ones agree with a probability of 0.0006. A chunk of documents sends each distinct name once, with its first place, so a name that a third of
 all suffixes has is still one entry a chunk; answers come back as bits. Chunks are ranges of doc_id, so the number of
 a chunk gives the order of places. Documents equal to an earlier one are settled by their hash alone.
 """
@@ -37,7 +38,7 @@ COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 WIDTH = LENGTH - V + 1
 LONG = LENGTH + V - 1
 #: Bytes of text in a chunk, and sampled names in a bucket, about. Both numbers follow the input alone.
-CHUNK_BYTES, BUCKET_NAMES = 8 << 20, 2 << 20
+CHUNK_BYTES, BUCKET_NAMES = 6 << 20, 2 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -80,6 +81,19 @@ class Chunk:
         """Hashes of the width bytes from each place in at."""
         return mix64((self.sums[at + width] - self.sums[at]) * self.inverse[at])
 
+    def checks(self, at: np.ndarray, width: int) -> np.ndarray:
+        """Further 32 bits of the width bytes from each place in at, made of the bytes themselves, eight at a time."""
+        out = np.empty(len(at), np.uint32)
+        eights = np.lib.stride_tricks.sliding_window_view(self.data, 8) if len(at) else None
+        for a in range(0, len(at), 1 << 17):
+            part = at[a : a + (1 << 17)]
+            h = np.zeros(len(part), np.uint64)
+            for k in (*range(0, width - 8, 8), width - 8):
+                h = (h ^ eights[part + k].view("<u8").reshape(-1)) * np.uint64(BASE)
+                h ^= h >> np.uint64(29)
+            out[a : a + len(part)] = h >> np.uint64(32)
+        return out
+
     def spread(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Which places some range first..last (both included) covers."""
         edges = np.bincount(first, minlength=len(self.data) + 1) - np.bincount(last + 1, minlength=len(self.data) + 1)
@@ -91,17 +105,23 @@ class Chunk:
         return self.spread(first, samples) & (self.left >= LENGTH)
 
 
-def distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct names in order, each entry's place among them, and which entries are a name's first."""
-    order = np.argsort(names, kind="stable")
+def distinct(names: np.ndarray, checks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which entries are the first of their name, in order of names; each entry's place among them; which entries are a name's first.
+
+    With checks, two entries have one name if these agree too.
+    """
+    order = np.argsort(names, kind="stable") if checks is None else np.lexsort((checks, names))
     ranked = names[order]
     new = np.ones(len(ranked), bool)
     new[1:] = ranked[1:] != ranked[:-1]
+    if checks is not None:
+        ranked = checks[order]
+        new[1:] |= ranked[1:] != ranked[:-1]
     place = np.empty(len(names), np.int64)
     place[order] = np.cumsum(new) - 1
     first = np.zeros(len(names), bool)
     first[order[new]] = True
-    return ranked[new], place, first
+    return order[new], place, first
 
 
 class Replay:
@@ -127,18 +147,21 @@ class Replay:
         return names >> np.uint64(32 - self.log2)
 
     def round(self, kind: str):
-        """What round kind sends: distinct names in order (of 64 or, for A and C, fewer bits) and a flag for each."""
+        """What round kind sends: distinct names in order (of 64 or, for A and C, fewer bits), their checks (B and D) and a flag for each (C)."""
         c = self.chunk
-        names, place, first = distinct(self.short(c.names(c.samples, WIDTH)))
+        names = self.short(c.names(c.samples, WIDTH))
+        at, place, first = distinct(names)
+        names = names[at]
         if kind == "A":
-            return names, np.zeros(len(names), bool)
+            return names, None, None
         shared, later = self.bits("A")
         shared = shared | (np.bincount(place, minlength=len(names)) > 1)
         is_shared, is_later = shared[place], later[place] | ~first
         long_at = c.samples[is_shared & (c.left[c.samples] >= LONG)]
-        long_names, long_place, long_first = distinct(c.names(long_at, LONG))
+        long_names, checks = c.names(long_at, LONG), c.checks(long_at, LONG)
+        at, long_place, long_first = distinct(long_names, checks)
         if kind == "B":
-            return long_names, np.zeros(len(long_names), bool)
+            return long_names[at], checks[at], None
         settled_at = long_at[self.bits("B")[1][long_place] | ~long_first]
         settled = c.spread(settled_at, settled_at + V - 1)
         open_ = c.before(c.samples[is_shared & is_later]) & ~settled
@@ -148,14 +171,15 @@ class Replay:
         sent = np.flatnonzero(shared)
         flag = np.bincount(place[reach & is_shared & is_later], minlength=len(names))[sent] > 0
         if kind == "C":
-            return names[sent], flag
+            return names[sent], None, flag
         wanted = np.zeros(len(names), bool)
         wanted[sent] = self.bits("C")[0] | flag
         ask = open_ | (c.before(c.samples[wanted[place]]) & ~settled)
         ask_at = np.flatnonzero(ask)
-        d_names, d_place, d_first = distinct(c.names(ask_at, LENGTH))
+        d_names, checks = c.names(ask_at, LENGTH), c.checks(ask_at, LENGTH)
+        at, d_place, d_first = distinct(d_names, checks)
         if kind == "D":
-            return d_names, np.zeros(len(d_names), bool)
+            return d_names[at], checks[at], None
         repeats = self.bits("D")[1][d_place] | ~d_first
         return settled & (c.left >= LENGTH), ask_at[repeats]
 
@@ -194,15 +218,16 @@ def _send(kind: str, log2: int):
 
     def send(texts: pa.Table, info: pa.Table) -> pa.Table:
         if not texts.num_rows:
-            return pa.table({"chunk": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "names": pa.array([], pa.binary()), "flags": pa.array([], pa.binary())})
-        names, flags = Replay(texts, info, log2).round(kind)
-        edges = np.searchsorted(names >> np.uint64(bits - log2), np.arange((1 << log2) + 1, dtype=np.uint64))
+            return pa.table({"chunk": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "names": pa.array([], pa.binary()), "more": pa.array([], pa.binary())})
+        names, checks, flags = Replay(texts, info, log2).round(kind)
+        bucket = (names >> np.uint64(bits - log2)).astype(np.int64)
+        edges = np.concatenate([np.flatnonzero(np.diff(bucket, prepend=-1)), [len(names)]])
         low = names.astype("<u8") if bits == 64 else (names & np.uint64(0xFFFFFFFF)).astype("<u4")
-        filled = [b for b in range(1 << log2) if edges[b + 1] > edges[b]]
+        spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+        more = {"A": lambda a, b: b"", "C": lambda a, b: np.packbits(flags[a:b]).tobytes()}.get(kind, lambda a, b: checks[a:b].astype("<u4").tobytes())
         return pa.table({
-            "chunk": pa.array(np.full(len(filled), texts.column("chunk")[0].as_py(), np.int32)), "bucket": pa.array(filled, pa.int32()),
-            "names": pa.array([low[edges[b] : edges[b + 1]].tobytes() for b in filled], pa.binary()),
-            "flags": pa.array([np.packbits(flags[edges[b] : edges[b + 1]]).tobytes() if kind == "C" else b"" for b in filled], pa.binary()),
+            "chunk": pa.array(np.full(len(spans), texts.column("chunk")[0].as_py(), np.int32)), "bucket": pa.array(bucket[edges[:-1]].astype(np.int32)),
+            "names": pa.array([low[a:b].tobytes() for a, b in spans], pa.binary()), "more": pa.array([more(a, b) for a, b in spans], pa.binary()),
         })
 
     return send
@@ -212,14 +237,15 @@ def _answer(kind: str):
     """For the names of a bucket from all chunks: whether others have them (C: whether a flag is up), and whether earlier ones do."""
 
     def answer(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("chunk").to_pylist(), table.column("names").to_pylist(), table.column("flags").to_pylist(), strict=True))
+        rows = sorted(zip(table.column("chunk").to_pylist(), table.column("names").to_pylist(), table.column("more").to_pylist(), strict=True))
         blobs = [np.frombuffer(n, "<u8" if kind in "BD" else "<u4") for _, n, _ in rows]
-        names, place, first = distinct(np.concatenate(blobs))
+        checks = np.concatenate([np.frombuffer(m, "<u4") for *_, m in rows]) if kind in "BD" else None
+        at, place, first = distinct(np.concatenate(blobs), checks)
         if kind == "C":
             flags = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=len(b)) for (_, _, f), b in zip(rows, blobs, strict=True)])
-            one = np.bincount(place, weights=flags, minlength=len(names))[place] > 0
+            one = np.bincount(place, weights=flags, minlength=len(at))[place] > 0
         else:
-            one = np.bincount(place, minlength=len(names))[place] > 1
+            one = np.bincount(place, minlength=len(at))[place] > 1
         ends = np.cumsum([len(b) for b in blobs])
         pack = lambda bits: pa.array([np.packbits(bits[e - len(b) : e]).tobytes() for b, e in zip(blobs, ends, strict=True)], pa.binary())
         return pa.table({"chunk": pa.array([c for c, _, _ in rows], pa.int32()), "kind": [kind] * len(rows), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(rows), pa.int32()), "n": pa.array([len(b) for b in blobs], pa.int64()), "one": pack(one), "two": pack(~first)})
@@ -238,7 +264,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     n = max(4, -(-size // CHUNK_BYTES))
     log2 = max(2, min(24, (size * len(COVER) // V // BUCKET_NAMES).bit_length()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("chunk", range_buckets(rows, "doc_id", n))
+    rows = range_buckets(rows, "doc_id", n, "chunk")
 
     def hashed(batches):
         for batch in batches:
@@ -251,7 +277,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     info = cut(copied.distinct(), "copies")
     dealt = rows.repartition(n, "chunk")
     for kind in "ABCD":
-        sent = dealt.groupBy("chunk").cogroup(info.groupBy("chunk")).applyInArrow(_send(kind, log2), "chunk int, bucket int, names binary, flags binary")
+        sent = dealt.groupBy("chunk").cogroup(info.groupBy("chunk")).applyInArrow(_send(kind, log2), "chunk int, bucket int, names binary, more binary")
         info = info.unionByName(cut(sent.groupBy("bucket").applyInArrow(_answer(kind), INFO), f"round-{kind}"))
 
     def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
