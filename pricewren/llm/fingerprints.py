@@ -90,10 +90,11 @@ def edited_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("bucket", range_buckets(rows, "doc_id", n))
+    rows = range_buckets(rows, "doc_id", n, "bucket")
     # the first row of each range: the greatest id, then the least text
     tops = rows.groupBy("bucket").agg(F.max("doc_id").alias("top"))
-    firsts = rows.join(tops, "bucket").where(F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("bucket").agg(F.min("text").alias("text"))
+    # one row a range, so texts stay where they are
+    firsts = rows.join(F.broadcast(tops), "bucket").where(F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("bucket").agg(F.min("text").alias("text"))
     buckets = [r["bucket"] for r in tops.select("bucket").collect()]  # one number a range
     # a range's first row follows the last row of the range above it
     above = dict(zip(sorted(buckets), sorted(buckets)[1:] + sorted(buckets)[:1], strict=True))
