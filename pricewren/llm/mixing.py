@@ -95,7 +95,7 @@ def mix(
     max_epochs: int = 4,
     seed: int = 17,
 ) -> DataFrame:
-    """Every column of docs plus ``mix_domain`` and ``mix_epochs``, for the documents that are taken.
+    """Every column of docs plus ``mix_domain`` and ``mix_epochs`` (which replace columns of these names), for the documents that are taken.
 
     mix_epochs is how often the document is taken. Tokens are words; a null or empty text has none and is taken with
     its leaf's whole epochs only (or where the prefix passes it). Null lang and source are leaves of their own, named
@@ -121,10 +121,10 @@ def mix(
     last = in_edge.withColumn("taken", F.col("base") + taken).where("taken <= rest").groupBy(*leaf).agg(F.max("key").alias("last_key"))
     # all before the edge's slice, and within it up to last_key; no edge means that the whole rest fits
     cuts = budgets.join(edge.select(*leaf, "slice"), leaf, "left").join(last, leaf, "left").select(*leaf, "epochs", "rest", "slice", "last_key")
-    key = order_key(seed, F.col("_m.epochs"))
-    more = (F.col("_m.rest") > 0) & (F.col("_m.slice").isNull() | (F.substring(key, 1, 3) < F.col("_m.slice")) | (key <= F.col("_m.last_key")))
-    marks = cut(cuts, "mix-cuts").select(F.struct("epochs", "rest", "slice", "last_key").alias("_m"), *(F.col(c).alias(f"_{c}") for c in leaf))
-    given = docs.withColumn("mix_domain", F.coalesce(domain, F.lit("")))
-    on = (F.col("mix_domain") == F.col("_domain")) & (F.coalesce("lang", F.lit("")) == F.col("_lang")) & (F.coalesce("source", F.lit("")) == F.col("_source"))
-    out = given.join(marks, on).withColumn("mix_epochs", F.col("_m.epochs") + F.when(more, 1).otherwise(0))
-    return out.where("mix_epochs > 0").select(*(docs[c] for c in docs.columns), "mix_domain", "mix_epochs")
+    # the caller's columns travel as one, so that their names can't meet those of this operator
+    given = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(domain, F.lit("")).alias("domain"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), "doc_id")
+    key = order_key(seed, F.col("epochs"))
+    more = (F.col("rest") > 0) & (F.col("slice").isNull() | (F.substring(key, 1, 3) < F.col("slice")) | (key <= F.col("last_key")))
+    out = given.join(cut(cuts, "mix-cuts"), leaf).withColumn("times", F.col("epochs") + F.when(more, 1).otherwise(0)).where("times > 0")
+    names = [c for c in docs.columns if c.lower() not in ("mix_domain", "mix_epochs")]
+    return out.select(*(F.col("row")[c].alias(c) for c in names), F.col("domain").alias("mix_domain"), F.col("times").alias("mix_epochs"))
