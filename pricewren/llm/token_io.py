@@ -120,21 +120,30 @@ def _store(path: str, data: bytes) -> None:
 
     from pyarrow import fs
 
-    system, name = fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:")))
+    system, name = fs.FileSystem.from_uri(path)
     system.create_dir(os.path.dirname(name), recursive=True)
     with system.open_output_stream(part := f"{os.path.dirname(name)}/.{uuid.uuid4().hex}.part") as out:
         out.write(data)
     system.move(part, name)
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """folder with the scheme of the file system that Spark resolves it to, which tasks and readers then share."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return whole if "://" in whole else whole.replace("file:", "file://", 1)
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = None, partitions: int | None = None, file_bytes: int = 64 << 20) -> DataFrame:
     """Encode documents and write their ids, ascending by doc_id, as token files in folder; return the manifest.
 
     One row a file: file, first_key (its place in the order), n_docs, n_ids. Null texts count as empty (end_id
-    alone, if given); null ids come first; rows that share a doc_id are ordered by their text. A partition of the
+    alone, if given); null ids come first; rows that share a doc_id are ordered by their text. Only doc_id and text are
+    read, so other columns can have any name; a text of any length is one document of one file. A partition of the
     range exchange writes its own files of at most about file_bytes, so no task holds more than one file.
     """
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    folder = _qualified(docs.sparkSession, folder)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -204,9 +213,8 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> Da
     """Write documents as token files into a new folder of the shared place and read them back."""
     spark = docs.sparkSession
     folder = fresh_path(spark, "tokens")
-    local = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     manifest_path = f"{folder}-manifest"
-    write(docs, local, tokenizer, end_id).write.parquet(manifest_path)
+    write(docs, folder, tokenizer, end_id).write.parquet(manifest_path)
     manifest = spark.read.parquet(manifest_path)
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
