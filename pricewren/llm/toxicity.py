@@ -38,10 +38,10 @@ REMEMBERED = 200_000
 #: Words on either side of a hit that its window holds.
 CONTEXT = 6
 STEM_SIZES = (4, 5, 6, 7)
-#: Labelled documents of each label that training takes at most, and the longest (code points) it takes.
-SAMPLE, SAMPLE_CHARS = 4000, 30_000
-#: Learned entries at most, the least documents one is seen in, and the least likelihood ratio.
-ENTRIES, LEAST_DOCS, LEAST_RATIO = 5000, 4, 24.0
+#: Labelled documents of each label that training takes at most, and code points of all of them together.
+SAMPLE, SAMPLE_CHARS = 4000, 16_000_000
+#: The least documents a learned entry is seen in, and its least likelihood ratio.
+LEAST_DOCS, LEAST_RATIO = 4, 24.0
 #: The shortest terms that misspelled words may reach.
 FUZZY_CHARS = 5
 
@@ -284,10 +284,10 @@ def learn_lexicon(texts: list[str], labels: np.ndarray) -> Lexicon:
                 yield g, entry, math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
 
     best_stems: dict[str, float] = {}
-    for _, entry, w in sorted(weigh(stems), key=lambda x: (-x[0], x[1]))[:ENTRIES]:
+    for _, entry, w in sorted(weigh(stems), key=lambda x: (-x[0], x[1])):
         if not any(entry[:k] in best_stems for k in STEM_SIZES if k < len(entry)):
             best_stems[entry] = w
-    best = {entry: w for _, entry, w in sorted(weigh(terms), key=lambda x: (-x[0], x[1]))[:ENTRIES]}
+    best = {entry: w for _, entry, w in sorted(weigh(terms), key=lambda x: (-x[0], x[1]))}
     return Lexicon(dict.fromkeys(SEED_TERMS, 4.0) | best, best_stems)
 
 
@@ -316,13 +316,17 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 600, rate: float = 0
 def train(docs: DataFrame, labels: DataFrame, learnable: Column) -> ToxicityModel:
     """Fit on rows of docs where learnable holds and labels has a label (toxic 0 or 1); default_model() without any.
 
-    The sample is bounded: SAMPLE documents of each label, the first by a hash of doc_id, of at most SAMPLE_CHARS
-    code points each. A document with two different labels counts as toxic.
+    The sample is bounded: SAMPLE documents of each label, the first by a hash of doc_id, of which those stay whose texts
+    fit into SAMPLE_CHARS with all that come before them by length, the shortest first. A document with two different
+    labels counts as toxic. What is learned is bounded by the sample.
     """
     marked = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = docs.where(learnable & (F.length("text") <= SAMPLE_CHARS)).select("doc_id").join(marked, "doc_id").withColumn("place", place).where(F.col("place") <= SAMPLE).select("doc_id", "label").distinct()
-    sample = docs.where(learnable).select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(ids, "doc_id")
+    own = docs.where(learnable).select("doc_id", F.col("text").cast("string").alias("text"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", "size"))
+    drawn = own.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("size")).join(marked, "doc_id").withColumn("place", place).where(F.col("place") <= SAMPLE)
+    through = F.sum(F.col("size").cast("long")).over(Window.partitionBy("label").orderBy("size", "place"))
+    ids = drawn.withColumn("through", through).where(F.col("through") <= SAMPLE_CHARS).select("doc_id", "label").distinct()
+    sample = own.join(ids, "doc_id")
 
     def one(table: pa.Table) -> pa.Table:
         got = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), table.column("label").to_pylist(), strict=True))
@@ -333,7 +337,10 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column) -> ToxicityMode
 
 
 def predict(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, score and predicted (1 from 0.5 on) for every row of docs; null and empty texts score as a text without hits."""
+    """doc_id, score and predicted (1 from 0.5 on) for every row of docs; null and empty texts score as a text without hits.
+
+    Whole texts are scored, however long; rows that repeat get equal results. Only doc_id and text are read.
+    """
     weights = model.to_json()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
