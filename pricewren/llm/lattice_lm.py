@@ -19,8 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewren.llm.common import cut, split_words, texts_of
+from pricewren.llm.common import cut, row_hash, split_words, text_bytes, texts_of
 
+#: Bytes of text in a chunk, about.
+CHUNK_BYTES = 8 << 20
 MARK = "▁"
 END = "</s>"
 
@@ -73,13 +75,14 @@ def score(docs: DataFrame, learns: Column, vocabulary: str, chunks: int | None =
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (both log10) for every row of docs.
 
     Counts and piece scores come from the rows where learns holds. Null texts count as empty: their only token is the
-    end. Rows with the same doc_id each get a row. Only doc_id and text are read.
+    end. Rows with the same doc_id each get a row. Only doc_id and text are read, so other columns can have any name.
+    An empty table gives an empty result. A very long text is one chunk's; a very long word is scored whole.
     """
     spark = docs.sparkSession
-    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), learns.alias("learns"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), learns.alias("learns"), row_hash().alias("t"))
+    n = chunks or max(4, -(-text_bytes(rows) // CHUNK_BYTES))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "chunk")
+    dealt = rows.withColumn("chunk", F.pmod("t", F.lit(n)).cast("int")).drop("t").repartition(n, "chunk")
 
     def own_words(table: pa.Table) -> pa.Table:
         words, picks, offsets = split_words(texts_of(table), lower=True)

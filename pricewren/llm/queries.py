@@ -46,7 +46,8 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     learns = hash_mod("doc_id", 7) != 2
-    return lattice_lm.score(documents(spark, sf_dir), learns, PIECES).withColumn("held_out", hash_mod("doc_id", 7) == 2)
+    out = lattice_lm.score(documents(spark, sf_dir), learns, PIECES)
+    return out.select("doc_id", (hash_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.train(docs, labels, hash_mod("doc_id", 5) != 0)
-    return toxicity.predict(docs, model).withColumn("held_out", hash_mod("doc_id", 5) == 0)
+    return toxicity.predict(docs, model).select("doc_id", (hash_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
