@@ -24,14 +24,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewren.llm.common import ragged_take, split_words, texts_of
+from pricewren.llm.common import ragged_take, release, split_words, texts_of
 
 #: Runs of more symbols than this are encoded by tree concatenation.
 LEAF = 48
 #: Documents of more code points than this are dealt out in segments.
 LONG_CHARS = 65_536
 #: Runs that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 #: Pieces that need no library normalizer: printable signs below U+0250, of which none changes another's lower case.
 _SIMPLE = regex.compile(r"[\x21-\x7E\xA1-\xAC\xAE-\u012F\u0131-\u0148\u014A-\u024F]+")
 _RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -269,7 +269,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def whole(batches):
         bpe = load(tokenizer)
-        for batch in (b.slice(a, 2500) for b in batches for a in range(0, b.num_rows, 2500)):  # bounds the arrays of ids
+        for batch in (b.slice(a, 1000) for b in batches for a in range(0, b.num_rows, 1000)):  # bounds the arrays of ids
             ids, ends = bpe.encode_batch(texts_of(batch))
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
             parts = [ids[a:b] for a, b in zip(starts, ends, strict=True)]
@@ -277,6 +277,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 [batch.column("doc_id"), pa.array(ends - starts, pa.int64()), pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary()), pa.array([bpe.decode(p) for p in parts], pa.binary())],
                 names=["doc_id", "n_tokens", "ids", "decoded"],
             )
+        release()
 
     def deal(batches):
         for batch in batches:

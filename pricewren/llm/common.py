@@ -67,6 +67,11 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return stay.withColumn("place", first).where("place = 1").select("row.*")
 
 
+def release() -> None:
+    """Give the memory that Arrow keeps for reuse back, as a worker lives on in other stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def texts_of(batch: pa.RecordBatch | pa.Table, name: str = "text") -> pa.Array:
     """The text column as one large_string array, null as the empty text."""
     column = batch.column(name)

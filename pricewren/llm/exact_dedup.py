@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewren.llm.common import cut, keep_rows, row_hash, texts_of
+from pricewren.llm.common import cut, keep_rows, release, row_hash, texts_of
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: A fingerprint is hot when it has more than this part of all rows, so there are at most HOT of them; its rows are
@@ -90,6 +90,7 @@ def digest(docs: DataFrame, with_text: bool = False) -> DataFrame:
             if with_text:
                 columns["normal"] = pa.array(normal, pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
+        release()
 
     return rows.mapInArrow(run, f"doc_id {id_type}, t long, n_chars long, fp long, text_sha256 string" + ", normal binary" * with_text)
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewren.llm.common import texts_of
+from pricewren.llm.common import release, texts_of
 
 WINDOW = 64
 HIDDEN = 8
@@ -259,6 +259,7 @@ def predict(docs: DataFrame, net: ByteBiGru | None) -> DataFrame:
                 score = np.where(known, np.minimum(1.0, p[np.arange(len(best)), best]), 0.0)
                 table = table.set_column(table.column_names.index("score"), "score", pa.array(score, pa.float64()))
             yield from table.to_batches()
+        release()
 
     return rows.mapInArrow(run, rows.schema)
 

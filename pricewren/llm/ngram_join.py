@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewren.llm.common import cut, keep_rows, mix64, row_hash, split_words, text_bytes, texts_of
+from pricewren.llm.common import cut, keep_rows, mix64, release, row_hash, split_words, text_bytes, texts_of
 from pricewren.llm.graph import components
 
 WORDS = 5
@@ -153,6 +153,7 @@ def described(docs: DataFrame) -> DataFrame:
             out["rare"].append(own[prefix[shared]].view(np.int64) if len(shared) else None)
             out["at"].append(shared.astype(np.int32) if len(shared) else None)
             out["members"].append(own[order].tobytes() if len(shared) else None)
+        release()
         return pa.table({
             "doc_id": texts.column("doc_id"), "t": texts.column("t"), "n": pa.array(np.diff(ends, prepend=0).astype(np.int32)),
             "high": pa.array(out["high"], pa.int64()), "low": pa.array(out["low"], pa.int64()),
