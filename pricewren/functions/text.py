@@ -66,17 +66,17 @@ def search_text(c: Column) -> Column:
 
 
 def graph_text(c: Column) -> Column:
-    """Lower case with only a-z, 0-9 and %./+-; anything else becomes a space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(squeeze(F.coalesce(c, F.lit("")))), r"[^a-z0-9%./+\- ]", " "), r"\s+", " "))
+    """Lower case with only a-z, 0-9 and %./+-; each run of other signs becomes a space beside those that are there."""
+    return F.trim(F.regexp_replace(F.lower(squeeze(F.coalesce(c, F.lit("")))), r"[^a-z0-9%./+\- ]+", " "))
 
 
-DOSE = r"(?i)\d+(?:[.,]\d+)?\s*(?:mcg|mg|ml|g|ui|iu|%)"
+DOSE = r"\b\d+(?:[.,]\d+)?\s*(?:mg|mcg|ug|g|ml|ui|iu|%)\b"
 
 
 def dose_tokens(c: Column) -> Column:
-    """Distinct doses in a text, lower-cased and without spaces, in order of first appearance."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(DOSE), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda x: F.lower(F.regexp_replace(x, r"\s+", ""))))
+    """Distinct doses in a text (as graph_text), without spaces, in order of first appearance."""
+    found = F.regexp_extract_all(graph_text(c), F.lit(DOSE), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(" "), F.lit(""))))
 
 
 def ingredients(c: Column) -> Column:

@@ -1,11 +1,14 @@
-"""Full-text search through an inverted index, BM25 ranks, and a fallback by tokens."""
+"""Full-text search by the tokens of each row: matches, BM25 and cover-density ranks, and a fallback by parts of words."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewren.functions.text import tokens
+from pricewren.functions.catalog import STOP_WORDS
+from pricewren.functions.text import LETTERS, tokens
 
 
 def matches_all(text: Column, words: list[str]) -> Column:
@@ -41,3 +44,38 @@ def contains_all(text: Column, parts: list[str]) -> Column:
     for part in parts:
         out = out & F.contains(F.lower(text), F.lit(part.lower()))
     return out
+
+
+def fallback(query: str, text: Column, dose: Column) -> Column:
+    """Whether text contains all words of query (stop words and words of one or two letters aside), and, if query has
+    numbers, contains any of them or dose is within 0.51 of any. A null dose is near nothing."""
+    spaced = re.sub(f"(?<=[0-9])(?=[{LETTERS}])|(?<=[{LETTERS}])(?=[0-9])", " ", query)
+    parts = re.sub(f"[^0-9{LETTERS}]+", " ", spaced).lower().split()
+    numbers = [p for p in parts if p.isdigit()]
+    words = contains_all(text, [p for p in parts if not p.isdigit() and p not in STOP_WORDS and len(p) > 2])
+    if not numbers:
+        return words
+    near = F.lit(False)
+    for n in numbers:
+        near = near | F.contains(F.lower(text), F.lit(n)) | F.coalesce(F.abs(dose - float(n)) <= 0.51, F.lit(False))
+    return words & near
+
+
+def cover_density(docs: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
+    """key and ``rank`` of every document that has all of words: 0.1 / (1 + noise), summed over its covers.
+
+    A cover is a stretch of tokens with all words that has no smaller one in it; its noise is how many other tokens it
+    holds. Where a cover that starts at some word ends is the last of the words' next places.
+    """
+    words = sorted(set(words))
+    own = docs.select(key, tokens(F.col(text)).alias("tokens"))
+    places = lambda w: F.filter(F.transform("tokens", lambda x, i: F.when(x == w, i)), lambda x: x.isNotNull())
+    at = own.select(key, F.array(*map(places, words)).alias("at")).where(F.forall("at", lambda x: F.size(x) > 0)).withColumn("all", F.array_sort(F.flatten("at")))
+    after = lambda x, s: F.array_min(F.filter(x, lambda p: p >= s))
+    ends = F.transform("all", lambda s: F.struct(s.alias("s"), F.transform("at", lambda x: after(x, s)).alias("next")))
+    whole = F.filter(ends, lambda c: F.forall(c["next"], lambda x: x.isNotNull()))
+    spans = at.withColumn("spans", F.transform(whole, lambda c: F.struct(c["s"].alias("s"), F.array_max(c["next"]).alias("e"))))
+    # of the stretches with one end only the last to start is a cover
+    last = F.filter("spans", lambda c, i: F.coalesce(F.get("spans", i + 1)["e"] != c["e"], F.lit(True)))
+    share = F.transform(last, lambda c: F.lit(0.1) / (2 + c["e"] - c["s"] - F.size(F.filter("all", lambda x: (x >= c["s"]) & (x <= c["e"])))))
+    return spans.select(key, F.aggregate(share, F.lit(0.0), lambda a, x: a + x).alias("rank"))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricewren.functions import catalog as catalog_functions
 from pricewren.functions import numbers, similarity, text
 from pricewren.operators import fuzzy, linkage, merge, quality, search, topk
 from pricewren.streaming.incremental import above_mark
@@ -56,14 +57,18 @@ def best_price_per_item(spark, sf_dir):
     return best.join(s, best["l_suppkey"] == s["s_suppkey"], "left").select("l_partkey", "price", F.coalesce("s_name", F.lit("unknown")).alias("s_name"))
 
 
-@query(f"select l_partkey, price, compliant, s_name from (select l_partkey, l_suppkey, price, price <= p_retailprice as compliant, row_number() over (partition by l_partkey order by (price <= p_retailprice) desc, price, {ROW}) as rn from {PRICES} join part on p_partkey = l_partkey) join supplier on s_suppkey = l_suppkey where rn = 1")
+#: Ceilings of the regulated items; others have none.
+CEILINGS = "(select p_partkey, p_retailprice from part where p_type <> 'ECONOMY')"
+
+
+@query(f"select l_partkey, price, compliant, s_name from (select l_partkey, l_suppkey, price, price <= p_retailprice as compliant, row_number() over (partition by l_partkey order by coalesce(price <= p_retailprice, false) desc, price, {ROW}) as rn from {PRICES} left join {CEILINGS} on p_partkey = l_partkey) left join supplier on s_suppkey = l_suppkey where rn = 1")
 def compliant_best_price(spark, sf_dir):
-    """CMP-01: the cheapest price below the regulated ceiling, else the cheapest."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
-    all_ = prices(spark, sf_dir).join(p, "l_partkey").withColumn("compliant", F.col("price") <= F.col("p_retailprice"))
-    best = topk.first_of(all_, ["l_partkey"], [F.col("compliant").desc(), F.col("price").asc_nulls_last(), *TIE])
+    """CMP-01, JN-04: the cheapest price below the regulated ceiling, else the cheapest; items without a ceiling are there too."""
+    p = table(spark, sf_dir, "part").where("p_type <> 'ECONOMY'").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
+    all_ = prices(spark, sf_dir).join(p, "l_partkey", "left").withColumn("compliant", F.col("price") <= F.col("p_retailprice"))
+    best = topk.first_of(all_, ["l_partkey"], [F.coalesce("compliant", F.lit(False)).desc(), F.col("price").asc_nulls_last(), *TIE])
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
-    return best.join(s, "l_suppkey").select("l_partkey", "price", "compliant", "s_name")
+    return best.join(s, "l_suppkey", "left").select("l_partkey", "price", "compliant", "s_name")
 
 
 @query(f"select l_partkey, l_suppkey, l_orderkey, l_linenumber, pct, case when pct <= 5 then 'low' when pct <= 20 then 'medium' else 'high' end as band from (select *, floor((price - lo) / lo * 100 * 10000 + 0.5) / 10000 as pct from (select *, min(price) over (partition by l_partkey) as lo from {PRICES}))")
@@ -138,26 +143,29 @@ def multi_source_merge(spark, sf_dir):
     return out.select("nation", "id", "origin", "labels", "latest")
 
 
-def _halves(spark, sf_dir):
+def _both(spark, sf_dir):
+    """All orders, and what all lines say of their orders, under keys shifted by a tenth of the orders, so that some are new."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    return o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 2 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1.0).withColumn("o_orderstatus", F.lit("X"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_linestatus").alias("o_orderstatus"), F.max("l_extendedprice").alias("o_totalprice"))
+    shift = (o.agg(F.max("o_orderkey").alias("m")).first()["m"] or 0) // 10
+    return o, lines.withColumn("o_orderkey", F.col("o_orderkey") + shift)
 
 
-_T = "(select o_orderkey, o_orderstatus, o_totalprice from orders where o_orderkey % 3 <> 0)"
-_S = "(select o_orderkey, 'X' as o_orderstatus, o_totalprice + 1.0::double as o_totalprice from orders where o_orderkey % 2 = 0)"
+_T = "(select o_orderkey, o_orderstatus, o_totalprice from orders)"
+_S = "(select l_orderkey + (select cast(floor(max(o_orderkey) / 10) as bigint) from orders) as o_orderkey, min(l_linestatus) as o_orderstatus, max(l_extendedprice) as o_totalprice from lineitem group by l_orderkey)"
 
 
 @query(f"select coalesce(t.o_orderkey, s.o_orderkey) as o_orderkey, case when t.o_orderkey is null then s.o_orderstatus else t.o_orderstatus end as o_orderstatus, coalesce(s.o_totalprice, t.o_totalprice) as o_totalprice from {_T} t full join {_S} s on t.o_orderkey = s.o_orderkey")
 def merge_upsert(spark, sf_dir):
     """SNK-01 to SNK-05: matched rows take the listed columns, others are inserted."""
-    target, source = _halves(spark, sf_dir)
+    target, source = _both(spark, sf_dir)
     return merge.merge(target, source, ["o_orderkey"], update=["o_totalprice"])
 
 
 @query(f"select * from {_T} union all select * from {_S} where o_orderkey not in (select o_orderkey from {_T})")
 def merge_ignore(spark, sf_dir):
     """SNK-07: matched rows stay, others are inserted."""
-    target, source = _halves(spark, sf_dir)
+    target, source = _both(spark, sf_dir)
     return merge.merge(target, source, ["o_orderkey"], when_matched="ignore")
 
 
@@ -214,11 +222,14 @@ def ingredient_explode(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(parts), "|").alias("parts"))
 
 
-@query(r"select doc_id, d as dose, cast(count(*) as bigint) as n from (select doc_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '(?i)\d+(?:[.,]\d+)?\s*(?:mcg|mg|ml|g|ui|iu|%)'), lambda x: lower(regexp_replace(x, '\s+', '', 'g')))) as d from documents) group by all")
+_GRAPH = r"trim(regexp_replace(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), '[^a-z0-9%./+\- ]+', ' ', 'g'))"
+
+
+@query(rf"select doc_id, d as dose, cast(count(*) as bigint) as n from (select doc_id, unnest(list_transform(regexp_extract_all({_GRAPH}, '{text.DOSE}'), lambda x: replace(x, ' ', ''))) as d from documents) group by all")
 def extract_doses(spark, sf_dir):
-    """FN-STR-07, FN-STR-09: every dose in every document."""
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(text.DOSE), F.lit(0))
-    e = table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("d")).withColumn("dose", F.lower(F.regexp_replace("d", r"\s+", "")))
+    """FN-STR-06, FN-STR-07, FN-STR-09: every dose in every document."""
+    found = F.regexp_extract_all(text.graph_text(F.col("text")), F.lit(text.DOSE), F.lit(0))
+    e = table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("d")).withColumn("dose", F.replace("d", F.lit(" "), F.lit("")))
     return e.groupBy("doc_id", "dose").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -322,12 +333,17 @@ def vector_topk(spark, sf_dir):
 
 @query()
 def homologation_margin(spark, sf_dir):
-    """FN-SCO-02, FN-SIM-04, SRT-04: the best candidate of each name, its margin, and whether it is accepted."""
+    """FN-SCO-01, FN-SCO-02, FN-SIM-04, SRT-04: the best candidate of each name by the five-part score, its margin, and whether it is accepted.
+
+    A name's words stand for its ingredients; doses are read from it, and maker and search rank are missing.
+    """
     n = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("k", F.col("name"))
     pairs = fuzzy.similarity_join(n, n, "k", "name", 0.3).where("left_key <> right_key")
     ratio = similarity.sequence_ratio("left_key", "right_key")
-    shared = similarity.overlap(F.split("left_key", " "), F.split("right_key", " "))
-    scored = pairs.withColumn("score", 0.85 * ratio + 0.15 * shared)
+    none = F.lit(None).cast("string")
+    doses = tuple(text.dose_tokens(F.col(c)) for c in ("left_key", "right_key"))
+    parts = tuple(catalog_functions.ingredient_tokens(F.replace(c, F.lit(" "), F.lit(" + "))) for c in ("left_key", "right_key"))
+    scored = pairs.withColumn("ratio", ratio).withColumn("score", catalog_functions.five_part_score(F.col("ratio"), doses, (none, none), parts, F.lit(None).cast("double")))
     best = topk.margin(scored, "left_key", "score", [F.col("right_key")])
     return best.select("left_key", "right_key", "score", "margin", ((F.col("score") >= 0.93) & (F.col("margin") >= 0.10)).alias("accepted"))
 

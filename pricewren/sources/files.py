@@ -7,14 +7,16 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Standard fields and the header patterns that feed them, in order of preference.
+# Standard fields and the header patterns that feed them.
 FIELD_PATTERNS = {
-    "cum": ("^cum$", "codigo.*cum", "cod.*cum"),
-    "price": ("precio.*unit", "^precio", "valor.*unit", "^valor"),
-    "description": ("descripcion", "^nombre", "producto"),
-    "supplier": ("proveedor", "laboratorio"),
-    "valid_from": ("vigencia.*(inicio|desde)", "fecha.*inicio"),
-    "valid_to": ("vigencia.*(fin|hasta)", "fecha.*fin"),
+    "cum_code": (r"\bcum\b", r"codigo\s*cum", r"c[oó]digo.*cum"),
+    "precio_unidad": (r"precio\s*umd", r"precio.*unidad\s*m[ií]nima"),
+    "precio_presentacion": (r"precio.*presentaci[oó]n", r"precio.*caja", r"precio.*empaque", r"precio.*presentac"),
+    "porcentaje_iva": ("iva", r"impuesto.*valor.*agregado", "tax"),
+    "precio_unitario": (r"precio.*unit", r"unit.*price", "precio"),
+    "descripcion": (r"descripci[oó]n", r"principio\s*activo", "principio", "producto", r"\bnombre(?!\s*comercial)\b", "description"),
+    "vigente_desde": (r"vigente?\s*desde", r"valid\s*from", r"fecha\s*inicio"),
+    "vigente_hasta": (r"vigente?\s*hasta", r"valid\s*to", r"fecha\s*fin", r"fecha\s*vencimiento"),
 }
 
 
@@ -48,14 +50,12 @@ def first_column(columns: list[str], candidates: list[str]) -> str:
 
 
 def suggest_mapping(columns: list[str], patterns: dict[str, tuple[str, ...]] | None = None) -> dict[str, str]:
-    """Standard field -> column: for each field the first column that any of its patterns finds."""
+    """Standard field -> column: the first column in which any of the field's patterns is found. A column may feed several fields."""
     out: dict[str, str] = {}
     for field, tests in (patterns or FIELD_PATTERNS).items():
-        for test in tests:
-            hit = next((c for c in columns if re.search(test, c.strip().lower())), None)
-            if hit is not None:
-                out[field] = hit
-                break
+        hit = next((c for c in columns if any(re.search(test, c.lower()) for test in tests)), None)
+        if hit is not None:
+            out[field] = hit
     return out
 
 

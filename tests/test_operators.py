@@ -130,9 +130,10 @@ def test_files(spark, tmp_path):
     path.write_text("cum;precio unitario;descripcion\n1-1;12,5;a\n2-2;;b\n", encoding="utf-8")
     df = files.read_master(spark, str(path), ["cum", "descripcion"])
     mapping = files.suggest_mapping(df.columns)
-    assert mapping["price"] == "precio unitario"
-    out = files.apply_mapping(df, mapping, ["cum", "price", "supplier"])
-    assert [(r["cum"], r["price"], r["supplier"], r["raw"]["descripcion"]) for r in out.orderBy("cum").collect()] == [("1-1", "12,5", None, "a"), ("2-2", None, None, "b")]
+    assert mapping == {"cum_code": "cum", "precio_unitario": "precio unitario", "descripcion": "descripcion"}
+    assert files.suggest_mapping(["Precio caja", "Código CUM", "Precio"]) == {"cum_code": "Código CUM", "precio_presentacion": "Precio caja", "precio_unitario": "Precio caja"}
+    out = files.apply_mapping(df, mapping, ["cum_code", "precio_unitario", "vigente_desde"])
+    assert [(r["cum_code"], r["precio_unitario"], r["vigente_desde"], r["raw"]["descripcion"]) for r in out.orderBy("cum_code").collect()] == [("1-1", "12,5", None, "a"), ("2-2", None, None, "b")]
 
 
 def test_replay_equals_batch(spark, tmp_path):

@@ -5,7 +5,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from pricewren.plans.queries import QUERIES, SQL
+from pricewren.plans import catalog, queries
+
+QUERIES, SQL = queries.QUERIES | catalog.QUERIES, queries.SQL | catalog.SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
