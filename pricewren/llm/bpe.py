@@ -277,7 +277,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 [batch.column("doc_id"), pa.array(ends - starts, pa.int64()), pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary()), pa.array([bpe.decode(p) for p in parts], pa.binary())],
                 names=["doc_id", "n_tokens", "ids", "decoded"],
             )
-        release()
+            release()
 
     def deal(batches):
         for batch in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -68,8 +69,10 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def release() -> None:
-    """Give the memory that Arrow keeps for reuse back, as a worker lives on in other stages."""
+    """Give the memory that Arrow and the C library keep for reuse back, as a worker lives on in other stages."""
     pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
 
 
 def texts_of(batch: pa.RecordBatch | pa.Table, name: str = "text") -> pa.Array:

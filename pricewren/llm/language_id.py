@@ -229,6 +229,7 @@ def train(docs: DataFrame, labelled: Column, docs_a_language: int = DOCS_A_LANGU
         windows = np.frombuffer(b"".join(b for _, b in got), np.uint8).reshape(-1, WINDOW)
         net = ByteBiGru(classes, seed)
         net.fit(windows, labels, seed=seed)
+        release()
         return pa.table({"model": [net.to_json()]})
 
     sampled = rows.join(chosen, "doc_id", "left_semi").mapInArrow(cut_windows, "lang string, bytes binary")
@@ -259,7 +260,7 @@ def predict(docs: DataFrame, net: ByteBiGru | None) -> DataFrame:
                 score = np.where(known, np.minimum(1.0, p[np.arange(len(best)), best]), 0.0)
                 table = table.set_column(table.column_names.index("score"), "score", pa.array(score, pa.float64()))
             yield from table.to_batches()
-        release()
+            release()
 
     return rows.mapInArrow(run, rows.schema)
 

@@ -95,6 +95,7 @@ def rarity_levels(dealt: DataFrame, buckets_log2: int) -> DataFrame:
         low = ((h >> np.uint64(32 - buckets_log2)) & np.uint64(0xFFFFFFFF)).astype("<u4")
         n = np.minimum(n, 255).astype(np.uint8)
         spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+        release()
         return pa.table({
             "chunk": pa.array(np.full(len(spans), table.column("chunk")[0].as_py(), np.int32)), "bucket": pa.array(bucket[edges[:-1]].astype(np.int32)),
             "keys": pa.array([_packed(low[a:b]) for a, b in spans], pa.binary()), "counts": pa.array([n[a:b].tobytes() for a, b in spans], pa.binary()),
