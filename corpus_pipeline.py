@@ -25,10 +25,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text, white space aside; null, empty and blank texts are one."""
     return exact_dedup.drop_duplicates(docs).select(*COLUMNS)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first row, by doc_id, of each class of near copies; documents without links stay."""
     return ngram_join.keep_one_a_class(docs).select(*COLUMNS)
 
 
@@ -39,6 +41,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of each row's ids and decoded text; null counts as empty, and a row taken twice has two rows."""
     return bpe.digests(bpe.encode(docs, WORD_BPE))
 
 
