@@ -120,6 +120,12 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def bucket_count(buckets: int, most: int = 256) -> int:
+    """How many numbers range_buckets gives at most for so many buckets: whole parts of each quantile range."""
+    n = max(1, min(buckets, most))
+    return n * -(-buckets // n)
+
+
 def range_buckets(df: DataFrame, column: str, buckets: int, name: str, most: int = 256) -> DataFrame:
     """df with ``name``, a bucket number that rises with column, for about as many rows in each bucket; null is in bucket 0.
 

@@ -16,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewren.llm.common import range_buckets
+from pricewren.llm.common import bucket_count, range_buckets, text_bytes
 
 SAMPLES = 64
+#: A range of doc_id has about so much text, so that its terms fit a task's memory; beyond 512 GB, ranges grow instead of their number.
+BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 16
 SPACES = r"[\x20\x09-\x0D]+"
 #: Samples are computed from 21-bit parts of two hashes; ln a is kept to 2**-32 above -128.
 PART = (1 << 21) - 1
@@ -89,18 +91,18 @@ def edited_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     neighbours always meet in one task, and all that follows stays there.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(max(8, -(-text_bytes(rows) // BUCKET_BYTES)), MOST_BUCKETS)
     rows = range_buckets(rows, "doc_id", n, "bucket")
-    # the first row of each range: the greatest id, then the least text
+    # the first row of each range: the greatest id, then the least text; it follows the last row of the range above
     tops = rows.groupBy("bucket").agg(F.max("doc_id").alias("top"))
+    # one number a range, so these windows stay small
+    above = F.coalesce(F.lead("bucket").over(Window.orderBy("bucket")), F.min("bucket").over(Window.partitionBy()))
+    tops = tops.withColumn("above", above)
     # one row a range, so texts stay where they are
-    firsts = rows.join(F.broadcast(tops), "bucket").where(F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("bucket").agg(F.min("text").alias("text"))
-    buckets = [r["bucket"] for r in tops.select("bucket").collect()]  # one number a range
-    # a range's first row follows the last row of the range above it
-    above = dict(zip(sorted(buckets), sorted(buckets)[1:] + sorted(buckets)[:1], strict=True))
-    follows = F.create_map(*(F.lit(x) for pair in above.items() for x in pair)) if above else F.create_map().cast("map<int,int>")
-    extra = firsts.select(F.lit(None).cast("long").alias("doc_id"), "text", follows[F.col("bucket")].cast("int").alias("bucket"), F.lit(1).alias("extra"))
-    dealt = rows.withColumn("extra", F.lit(0)).unionByName(extra).repartition(n, "bucket")
+    firsts = rows.join(F.broadcast(tops), "bucket").where(F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("bucket", "above").agg(F.min("text").alias("text"))
+    extra = firsts.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("above").alias("bucket"), F.lit(1).alias("extra"))
+    # a task for each range: hashed, several ranges would share a task and it would spill
+    dealt = rows.withColumn("extra", F.lit(0)).unionByName(extra).repartitionById(bucket_count(n), "bucket")
     order = Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").desc_nulls_last(), "text")
     paired = dealt.withColumn("row", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("text").over(order), F.lit("")))
     paired = paired.withColumn("n_chars", F.length("text").cast("long")).withColumn("half", F.expr("cast(n_chars div 2 as int)"))
