@@ -63,7 +63,8 @@ def signatures(rows: DataFrame, part: str, key: str, text: str, samples: int = S
     """
     words = rows.select(part, key, F.explode(F.split(F.lower(text), SPACES)).alias("word"))
     terms = words.select(part, key, F.when(F.col("word") != "", F.xxhash64("word")).alias("term")).groupBy(part, key, "term").agg(F.count(F.lit(1)).alias("n"))
-    shared = terms.groupBy(part, "term", "n").agg(F.collect_list(key).alias("rows")).withColumn("log_weight", F.log(F.col("n").cast("double")))
+    # the term first: lists are gathered by a sort, which compares the first key alone where that differs
+    shared = terms.groupBy("term", part, "n").agg(F.collect_list(key).alias("rows")).withColumn("log_weight", F.log(F.col("n").cast("double")))
     # a text without words has the null term alone, which draws nothing
     each = draw(shared, part, samples).select(part, F.explode("rows").alias(key), F.when(F.col("known"), F.col("drawn")).alias("drawn"))
     least = each.groupBy(part, key).agg(*(F.min(F.col("drawn")[k]).alias(f"s{k}") for k in range(samples)))
