@@ -204,3 +204,11 @@ def approve(suggestions: Column, least: float = 0.99) -> Column:
     best = F.array_max(F.transform(suggestions, lambda x: x["score"]))
     first = F.try_element_at(suggestions, F.lit(1))
     return F.struct(F.round(best, 4).alias("confidence"), F.when(best >= least, first["id"]).alias("id"), F.coalesce(best >= least, F.lit(False)).alias("approved"))
+
+
+def homologation_state(state: Column) -> Column:
+    """A state in capitals without outer spaces; automatic approvals count as approved, unknown states as pending."""
+    plain = F.upper(F.trim(state))
+    # fixed values
+    known = F.when(plain == "AUTO_APROBADO", "APROBADO").when(~plain.isin("PENDIENTE", "APROBADO", "RECHAZADO"), "PENDIENTE")
+    return known.otherwise(plain)

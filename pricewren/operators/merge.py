@@ -58,3 +58,10 @@ def scd2(changes: DataFrame, key: list[str], start: str, values: list[str], tie:
     kept = marked.withColumn("_new", differs).where("_new").drop("_new")
     after = F.lead(start).over(order)
     return kept.withColumn("valid_to", F.date_sub(after.cast("date"), 1)).withColumn("is_current", after.isNull())
+
+
+def refresh(target: DataFrame, source: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """target with columns taken from source (one row a key) where it has a value, as an update with a join does."""
+    new = source.select(key, *(F.col(c).alias(f"_new_{c}") for c in columns))
+    fresh = [F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in target.columns]
+    return target.join(new, key, "left").select(*fresh)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricewren.functions import catalog, drugs, numbers
-from pricewren.operators import search, topk
+from pricewren.operators import merge, search, topk
 from pricewren.plans.queries import PRICES, ROW, TIE, prices, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +199,69 @@ def quotation_export(spark, sf_dir):
     state = F.when(F.col("p_name").isNull(), "NO_MATCH").when(F.col("price").isNull(), "NO_PRICE").when(F.col("price") > F.col("p_retailprice"), "ABOVE_CEILING").otherwise("OK")
     out = lines.join(match, "l_partkey", "left").join(best, "l_partkey", "left").withColumn("line", place)
     return out.select("o_orderkey", "l_linenumber", "l_partkey", "line", "p_name", F.coalesce("price", F.lit(0.0)).alias("price"), state.alias("state"))
+
+
+@query(
+    """select o_orderkey, ['APROBADO', 'APROBADO', 'RECHAZADO', 'PENDIENTE', 'PENDIENTE', null][o_orderkey % 6 + 1] as state,
+case when o_orderkey % 4 = 0 then 'DESCONOCIDA' else o_orderpriority end as company from orders"""
+)
+def staging_states(spark, sf_dir):
+    """PRJ-17, PRJ-18: states of older rows made regular, and a default company."""
+    raw = _by_key("o_orderkey", F.lit(" aprobado"), F.lit("auto_aprobado "), F.lit("Rechazado"), F.lit("PENDIENTE"), F.lit("otro"), F.lit(None).cast("string"))
+    company = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", catalog.homologation_state(raw).alias("state"), F.coalesce(company, F.lit("DESCONOCIDA")).alias("company"))
+
+
+@query("select l_orderkey, l_linenumber, l_suppkey, case when l_linenumber % 2 = 0 then l_partkey else p_partkey end as item, l_extendedprice as price, '2026-01-01' as published from lineitem left join part on p_partkey = l_partkey and p_size <= 40")
+def published_prices(spark, sf_dir):
+    """PRJ-09: staged rows with their own item or, without one, the catalog's, at one time of publication."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.col("l_extendedprice").alias("price"))
+    items = table(spark, sf_dir, "part").where("p_size <= 40").select(F.col("p_partkey").alias("found"), F.col("p_partkey").alias("l_partkey"))
+    own = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey"))
+    return lines.join(items, "l_partkey", "left").select("l_orderkey", "l_linenumber", "l_suppkey", F.coalesce(own, "found").alias("item"), "price", F.lit("2026-01-01").alias("published"))
+
+
+@query("select distinct p_partkey, p_name from part join lineitem on l_partkey = p_partkey where l_suppkey = 1")
+def items_of_supplier(spark, sf_dir):
+    """JN-02: items that one supplier has prices for, each once."""
+    sold = table(spark, sf_dir, "lineitem").where("l_suppkey = 1").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name").join(sold, "p_partkey", "left_semi")
+
+
+@query("select p_partkey, p_name, coalesce(m, p_retailprice) as p_retailprice from part left join (select l_partkey, min(l_extendedprice / l_quantity) as m from lineitem where l_returnflag = 'R' group by 1) on l_partkey = p_partkey")
+def refreshed_prices(spark, sf_dir):
+    """JN-10: prices replaced by the least one of returned lines where there is one."""
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    least = returned.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("p_retailprice"))
+    return merge.refresh(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice"), least, "p_partkey", ["p_retailprice"])
+
+
+@query(f"select p_partkey, p_name, m as market, p_size <= 40 as regulated from part left join (select l_partkey, min(price) as m from {PRICES} group by 1) on l_partkey = p_partkey")
+def item_rows(spark, sf_dir):
+    """JN-03, PRJ-13: each item with its market price, if any, and whether it is among the regulated ones."""
+    market = prices(spark, sf_dir).groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("price").alias("market"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    ceilings = parts.where("p_size <= 40").select("p_partkey", F.lit(True).alias("held"))
+    return parts.join(market, "p_partkey", "left").join(ceilings, "p_partkey", "left").select("p_partkey", "p_name", "market", F.col("held").isNotNull().alias("regulated"))
+
+
+@query("select s_suppkey, count(*) as n_lines, count(distinct p_partkey) as n_items from supplier join lineitem on l_suppkey = s_suppkey join part on p_partkey = l_partkey group by 1")
+def supplier_items(spark, sf_dir):
+    """JN-19: how many prices each supplier has, and of how many items."""
+    sold = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
+    known = sold.join(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").join(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey")
+    return known.groupBy("s_suppkey").agg(F.sum("n").alias("n_lines"), F.count(F.lit(1)).alias("n_items"))
+
+
+@query("select * from (select p_partkey, p_name, case when p_partkey % 3 > 0 then p_partkey end as item from part where lower(p_name) like '%red%' order by p_name, p_partkey limit 50) where item is not null")
+def suggestions_with_ids(spark, sf_dir):
+    """SRT-03, FLT-16: the first fifty names; those without an item go only then, so fewer may stay."""
+    named = table(spark, sf_dir, "part").where(F.contains(F.lower("p_name"), F.lit("red"))).select("p_partkey", "p_name", F.when(F.col("p_partkey") % 3 > 0, F.col("p_partkey")).alias("item"))
+    return named.orderBy("p_name", "p_partkey").limit(50).where("item is not null")
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem order by l_orderkey, l_linenumber, l_partkey, l_suppkey limit 5")
+def first_staged_rows(spark, sf_dir):
+    """SRT-06, SRT-07: the first five rows by file and row number."""
+    place = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return table(spark, sf_dir, "lineitem").select(*place).orderBy(*place).limit(5)

@@ -143,3 +143,11 @@ def test_replay_equals_batch(spark, tmp_path):
         spark.createDataFrame(p, schema).coalesce(1).write.mode("append").parquet(folder)
         incremental.replay(spark, folder, schema, str(tmp_path / "cp"), incremental.merging(spark, table, ["k"], [F.col("pos").desc()]))
     assert rows(incremental.latest(spark, table)) == [(1, "A", 5), (2, "B", 3), (3, "c", 4)]
+
+
+def test_refresh_keeps_what_has_no_newer_value(spark):
+    target = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0), (3, "c", None), (None, "d", 4.0)], "k int, name string, v double")
+    source = spark.createDataFrame([(1, 9.0), (2, None), (4, 8.0)], "k int, v double")
+    got = merge.refresh(target, source, "k", ["v"])
+    assert got.columns == ["k", "name", "v"]
+    assert sorted((r["name"], r["v"]) for r in got.collect()) == [("a", 9.0), ("b", 2.0), ("c", None), ("d", 4.0)]
