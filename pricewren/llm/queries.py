@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewren.llm import bpe, exact_dedup, fingerprints, language_id, lattice_lm, mixing, ngram_join, suffix_dedup, token_io, toxicity
+from pricewren.llm import bpe, exact_dedup, fingerprints, language_id, lattice_lm, lexical, mixing, ngram_join, suffix_dedup, token_io, toxicity
 from pricewren.llm.common import hash_mod
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -67,7 +67,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(documents(spark, sf_dir), WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_token_io, op4_mixing, op5_fingerprints, op6_ngram_join, op7_lattice_lm, op8_language_id, op9_toxicity, op10_bpe)}
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_token_io, op4_mixing, op5_fingerprints, op6_ngram_join, op7_lattice_lm, op8_language_id, op9_toxicity, op10_bpe, op13_lexical_search)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 _DOMAIN = "case when regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) = '' then 'other' else 'd' || (cast(regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) as bigint) % 4) end"
@@ -103,9 +107,16 @@ c as (select *, sum(tokens) over (partition by domain, l, s order by key) as tak
 taken as (select *, cast(epochs + case when rest > 0 and taken <= rest then 1 else 0 end as bigint) as n_epochs from c)"""
 
 
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{lexical.TERM}')"
+
 ORACLE_SQL = {
     "op2_exact_dedup": r"""with n as (select doc_id, length(coalesce(text, '')) as n_chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as t from documents)
 select doc_id, first_value(doc_id) over w as keep_id, cast(count(*) over (partition by t) as bigint) as group_size, first_value(doc_id) over w = doc_id as kept, sha256(t) as text_sha256
 from n window w as (partition by t order by n_chars desc, doc_id)""",
     "op4_mixing": mixing_sql() + "\nselect doc_id, domain, lang, source, n_epochs as epochs from taken where n_epochs > 0",
+    "op13_lexical_search": f"""with d as (select doc_id, {_TERMS} as t from documents), d1 as (select doc_id, cast(len(t) as bigint) as n, t from d where len(t) > 0),
+a as (select cast(count(*) as bigint) as nn, cast(sum(n) as bigint) as l from d1), p as (select doc_id, n, term, cast(count(*) as bigint) as tf from (select doc_id, n, unnest(t) as term from d1) group by all),
+q as (select distinct item_id, unnest({_TERMS}) as term from benchmark), w as (select term, cast(floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1)::double)) as bigint) as w from p, a where term in (select term from q) group by term, nn),
+s as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nn) // l)))) as bigint) as score from q join w using (term) join p using (term), a group by all)
+select item_id, cast(rn as integer) as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rn from s where score > 0) where rn <= 10""",
 }
