@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewren.llm import bpe, exact_dedup, fingerprints, language_id, lattice_lm, lexical, mixing, ngram_join, suffix_dedup, token_io, toxicity
+from pricewren.llm import bpe, exact_dedup, fingerprints, hard_negatives, language_id, lattice_lm, lexical, mixing, ngram_join, suffix_dedup, token_io, toxicity
 from pricewren.llm.common import hash_mod
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -67,11 +67,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(documents(spark, sf_dir), WORD_BPE))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_token_io, op4_mixing, op5_fingerprints, op6_ngram_join, op7_lattice_lm, op8_language_id, op9_toxicity, op10_bpe, op13_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_token_io, op4_mixing, op5_fingerprints, op6_ngram_join, op7_lattice_lm, op8_language_id, op9_toxicity, op10_bpe, op11_hard_negatives, op13_lexical_search)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 _DOMAIN = "case when regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) = '' then 'other' else 'd' || (cast(regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) as bigint) % 4) end"
@@ -114,6 +118,12 @@ ORACLE_SQL = {
 select doc_id, first_value(doc_id) over w as keep_id, cast(count(*) over (partition by t) as bigint) as group_size, first_value(doc_id) over w = doc_id as kept, sha256(t) as text_sha256
 from n window w as (partition by t order by n_chars desc, doc_id)""",
     "op4_mixing": mixing_sql() + "\nselect doc_id, domain, lang, source, n_epochs as epochs from taken where n_epochs > 0",
+    "op11_hard_negatives": """with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as q from embeddings
+where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, cast(list_sum(list_transform(list_zip(a.q, b.q), lambda x: x[1] * x[2])) as bigint) as score from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select * from (select *, row_number() over (partition by anchor_id order by score desc, id) as rn from s where same) where rn <= 5),
+n as (select p.anchor_id, p.id as positive_id, s.id as negative_id, p.score as positive_score, s.score as negative_score, row_number() over (partition by p.anchor_id, p.id order by s.score desc, s.id) as rn from p join s on s.anchor_id = p.anchor_id and not s.same and 80 * p.score <= 100 * s.score and s.score <= p.score)
+select anchor_id, positive_id, cast(rn as integer) as rank, negative_id, positive_score, negative_score from n where rn <= 5""",
     "op13_lexical_search": f"""with d as (select doc_id, {_TERMS} as t from documents), d1 as (select doc_id, cast(len(t) as bigint) as n, t from d where len(t) > 0),
 a as (select cast(count(*) as bigint) as nn, cast(sum(n) as bigint) as l from d1), p as (select doc_id, n, term, cast(count(*) as bigint) as tf from (select doc_id, n, unnest(t) as term from d1) group by all),
 q as (select distinct item_id, unnest({_TERMS}) as term from benchmark), w as (select term, cast(floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1)::double)) as bigint) as w from p, a where term in (select term from q) group by term, nn),
