@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewren.llm import bpe, exact_dedup, fingerprints, hard_negatives, language_id, lattice_lm, lexical, mixing, ngram_join, suffix_dedup, token_io, toxicity
+from pricewren.llm import bpe, exact_dedup, fingerprints, hard_negatives, html_text, language_id, lattice_lm, lexical, mixing, ngram_join, suffix_dedup, token_io, toxicity
 from pricewren.llm.common import hash_mod
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -71,11 +71,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html_text.extract(pages, html_text.train(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_token_io, op4_mixing, op5_fingerprints, op6_ngram_join, op7_lattice_lm, op8_language_id, op9_toxicity, op10_bpe, op11_hard_negatives, op13_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_dedup, op3_token_io, op4_mixing, op5_fingerprints, op6_ngram_join, op7_lattice_lm, op8_language_id, op9_toxicity, op10_bpe, op11_hard_negatives, op12_html_extraction, op13_lexical_search)}
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 _DOMAIN = "case when regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) = '' then 'other' else 'd' || (cast(regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) as bigint) % 4) end"
