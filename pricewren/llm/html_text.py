@@ -67,11 +67,12 @@ _SPACE = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("text", "path", "linked")
+    __slots__ = ("text", "path", "linked", "homes")
 
-    def __init__(self, text: str, path: tuple[tuple[str, tuple[str, ...]], ...], linked: int):
-        #: path: the ancestors from the outermost, each a tag and what its attributes say; linked: characters inside links
-        self.text, self.path, self.linked = text, path, linked
+    def __init__(self, text: str, path: tuple[tuple[str, tuple[str, ...]], ...], linked: int, homes: tuple[int, int]):
+        #: path: the ancestors from the outermost, each a tag and what its attributes say; linked: characters inside links;
+        #: homes: numbers of the elements that hold its own element, and that one
+        self.text, self.path, self.linked, self.homes = text, path, linked, homes
 
 
 @lru_cache(maxsize=50_000)
@@ -96,6 +97,8 @@ def blocks_of(page: str) -> list[Block]:
     """
     out: list[Block] = []
     path: list[tuple[str, tuple[str, ...]]] = []
+    numbers: list[int] = []
+    opened = 0
     parts: list[tuple[str, bool]] = []
     link = False
     end, n = 0, len(page)
@@ -105,14 +108,14 @@ def blocks_of(page: str) -> list[Block]:
             text = _SPACE.sub(" ", html.unescape("".join(p for p, _ in parts))).strip()
             if text:
                 linked = sum(len(p.strip()) for p, inside in parts if inside)
-                out.append(Block(text, tuple(path), min(len(text), linked)))
+                out.append(Block(text, tuple(path), min(len(text), linked), (numbers[-2] if len(path) > 1 else 0, numbers[-3] if len(path) > 2 else 0)))
             parts.clear()
 
     def shut(tags: set[str], scope: set[str]) -> None:
         """End the innermost open element of tags, and what is open in it, unless one of scope is in between."""
         for i in range(len(path) - 1, -1, -1):
             if path[i][0] in tags:
-                del path[i:]
+                del path[i:], numbers[i:]
                 return
             if path[i][0] in scope:
                 return
@@ -143,6 +146,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         close()
         if closing:
+            link = False  # as pages leave links open at the end of a block
             shut({tag}, {"table", "td", "th"} - {tag} if tag not in ("table", "html", "body", "article", "main") else set())
             continue
         if tag in VOID:
@@ -150,6 +154,7 @@ def blocks_of(page: str) -> list[Block]:
         if any(t == "p" for t, _ in path[-4:]):
             shut({"p"}, SCOPE)
         if tag in ENDED_BY:
+            link = False
             # everything up to the innermost list or table may end
             for _ in range(3):
                 before = len(path)
@@ -157,7 +162,9 @@ def blocks_of(page: str) -> list[Block]:
                 if len(path) == before:
                     break
         if not attributes.endswith("/"):
+            opened += 1
             path.append((tag, kinds_of(attributes)))
+            numbers.append(opened)
     close()
     return out
 
@@ -215,8 +222,14 @@ def features(blocks: list[Block]) -> list[tuple[tuple[str, ...], ...]]:
     paths = [path_features(b.path) for b in blocks]
     landmark = any("article" == t or "main" == t for b in blocks for t, _ in b.path)
     out, heading, talk = [], "", False
+    held: dict[int, int] = {}
+    for b in blocks:
+        for home in {*b.homes}:
+            held[home] = held.get(home, 0) + len(b.text) - b.linked
+    whole = max(1, sum(len(b.text) - b.linked for b in blocks))
     for i, block in enumerate(blocks):
-        more = ["bias", f"place:{10 * i // len(blocks)}"]
+        shares = [_bin(held[home] / whole, (0.02, 0.08, 0.2, 0.45, 0.7)) for home in block.homes]
+        more = ["bias", f"place:{10 * i // len(blocks)}", f"home:{shares[0]}", f"house:{shares[1]}"]
         tag = block.path[-1][0] if block.path else ""
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             said = {k for w in block.text.split(" ")[:6] if (k := _WORD_OF.get(w.strip(".,:;!?()[]").lower()))}
