@@ -43,13 +43,27 @@ def _with(value: Column, of) -> Column:
 def word_similarity(a: Column, b: Column) -> Column:
     """The greatest share that a's trigrams have with those of any stretch of b's ordered trigrams.
 
-    Only stretches that start and end with one of a's trigrams are compared: others do better without their ends.
+    From each start, one pass over the ends keeps two counts: the stretch's distinct trigrams and those of a among them.
+    A trigram counts where it first comes in the stretch, that is where the place before at which it came isn't in it.
     """
+    state = lambda all_, held, best: F.struct(all_.alias("all"), held.alias("held"), best.alias("best"))
+
     def best(x):
         q, t = x["q"], x["t"]
-        held = F.filter(F.transform(t, lambda g, i: F.when(F.array_contains(q, g), i + 1)), lambda i: i.isNotNull())
-        share = lambda i, j: jaccard(q, F.slice(t, i, j - i + 1))
-        return _with(held, lambda at: F.array_max(F.transform(at, lambda i: F.array_max(F.transform(F.filter(at, lambda j: j >= i), lambda j: share(i, j))))))
+        before = lambda g, j: j - F.array_position(F.reverse(F.slice(t, F.lit(1), j)), g)
+        at = F.transform(t, lambda g, j: F.struct((before(g, j)).cast("int").alias("seen"), j.alias("at"), F.array_contains(q, g).alias("own")))
+
+        def from_(places, i, n):
+            def step(s, p):
+                # seen is p's own place where the trigram hasn't come before
+                new = (p["seen"] == p["at"]) | (p["seen"] < i)
+                all_, held = s["all"] + new.cast("int"), s["held"] + (new & p["own"]).cast("int")
+                return state(all_, held, F.greatest(s["best"], held / (n + all_ - held)))
+
+            return F.aggregate(F.slice(places, i + 1, F.size(places)), state(F.lit(0), F.lit(0), F.lit(0.0)), step, lambda s: s["best"])
+
+        starts = lambda y: F.filter(y["at"], lambda p: p["own"])
+        return _with(F.struct(at.alias("at"), F.size(q).alias("n")), lambda y: F.array_max(F.transform(starts(y), lambda p: from_(y["at"], p["at"], y["n"]))))
 
     return F.coalesce(_with(F.struct(trigrams(a).alias("q"), ordered_trigrams(b).alias("t")), best), F.lit(0.0))
 

@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewren.functions.similarity import trigrams, word_similarity
-from pricewren.operators.topk import top_k
+from pricewren.operators.topk import first_of, top_k
+from pricewren.tables import written
+
+#: Thresholds that nearest() tries from the greatest down.
+STEPS = (0.7, 0.5, 0.3, 0.15)
+#: Right-hand texts with one trigram that are joined under one key; more are dealt over several.
+HOT, MOST_DEALS = 20_000, 1024
 
 
 def similarity_join(left: DataFrame, right: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
@@ -61,3 +67,79 @@ def word_similarity_join(left: DataFrame, right: DataFrame, key: str, text: str,
 def best_candidates(left: DataFrame, right: DataFrame, key: str, text: str, threshold: float, k: int) -> DataFrame:
     """The k most similar right-hand keys of each left-hand key, with their rank."""
     return top_k(similarity_join(left, right, key, text, threshold), ["left_key"], [F.col("similarity").desc(), F.col("right_key")], k)
+
+
+def _numbered(counts: DataFrame) -> DataFrame:
+    """g and r: a number that rises with how many texts have the trigram, and says in its remainder how often it is dealt."""
+    deals = F.least(F.ceil(F.col("n") / HOT) - 1, F.lit(MOST_DEALS - 1))
+    return counts.orderBy("n", "g").select("g", (F.monotonically_increasing_id() * MOST_DEALS + deals).alias("r"))
+
+
+def _by_rarity(df: DataFrame, key: str, numbers: DataFrame) -> DataFrame:
+    """key, size (all trigrams) and ``held``: the numbers of the trigrams that some right-hand text has, rarest first."""
+    ranked = df.select(key, F.size("grams").alias("size"), F.explode("grams").alias("g")).join(numbers, "g")
+    return ranked.groupBy(key).agg(F.max("size").alias("size"), F.array_sort(F.collect_list("r")).alias("held"))
+
+
+def _meet(left: DataFrame, right: DataFrame, least: float, fits: Column) -> DataFrame:
+    """left_key, right_key and similarity of the pairs that share a trigram among the ``look`` of either side (which begins at
+    ``skip`` in held), may have a similarity of ``least`` and fit.
+
+    A pair comes once: where its first shared trigram is. What it can share from there on is known from the places, and
+    a pair for which that isn't enough isn't scored. A trigram of many right-hand texts has several keys, over which these
+    are dealt; the left-hand texts go to each.
+    """
+    deals = (F.col("g") % MOST_DEALS + 1).cast("int")
+    x = left.select("*", F.posexplode("look").alias("at", "g")).withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1)))
+    y = right.select("right_key", F.col("size").alias("size2"), F.col("held").alias("held2"), F.col("look").alias("look2"), F.posexplode("look").alias("at2", "g"))
+    y = y.withColumn("deal", F.pmod(F.xxhash64("right_key"), deals).cast("int"))
+    shared = F.size(F.array_intersect("held", "held2"))
+    rest = F.col("skip") + F.least(F.size("held") - F.col("skip") - F.col("at"), F.col("size2") - F.col("at2"))
+    enough = rest >= (F.col("size") + F.col("size2")) * (least / (1 + least)) - 1e-9
+    pairs = x.join(y, ["g", "deal"]).where(fits & enough & (F.get(F.array_intersect("look", "look2"), F.lit(0)) == F.col("g")))
+    return pairs.select("left_key", "right_key", (shared / (F.col("size") + F.col("size2") - shared)).alias("similarity"))
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, text: str, steps: tuple[float, ...] = STEPS) -> DataFrame:
+    """left_key, right_key and similarity of the right-hand text with the greatest trigram similarity to each left-hand one.
+
+    Ties go to the least right_key; texts that share no trigram with any have no row. Keys are unique on either side.
+
+    It is exact without comparing all that share any trigram. Thresholds fall: what has a partner at a threshold has its
+    best one among those, and leaves. At threshold t a pair shares t n of the n trigrams of either side, so it shares one
+    of the rarest, and its sizes differ by a factor t at most. What no threshold settles first meets the texts that share
+    one of the rarer half of its trigrams, which gives a least similarity s. Any other text shares some of the h
+    commoner ones only, so that it has to be smaller than h / s + h - n to do better.
+    """
+    def sets(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col(key).alias(name), trigrams(F.col(text)).alias("grams")).where(F.size("grams") > 0)
+
+    a, b = sets(left, "left_key"), sets(right, "right_key")
+    counts = written(_numbered(b.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))), "counts")
+    rest, right_ = written(_by_rarity(a, "left_key", counts).withColumn("skip", F.lit(0)), "nearest-left"), written(_by_rarity(b, "right_key", counts), "nearest-right")
+    best = lambda found: first_of(found, ["left_key"], [F.col("similarity").desc(), F.col("right_key")])
+    none = F.slice("held", F.lit(1), F.lit(0))
+    done = []
+    for t in steps:
+        # of n trigrams, of which h are held at all, one of the rarest h - t n + 1 is shared
+        prefix = (F.size("held") - F.ceil(F.col("size") * F.lit(t) - 1e-9) + 1).cast("int")
+        looked = lambda df, p=prefix: df.withColumn("look", F.when(p > 0, F.slice("held", F.lit(1), F.greatest(p, F.lit(0)))).otherwise(none))
+        near = (F.col("size2") >= F.col("size") * t - 1e-9) & (F.col("size2") * t <= F.col("size") + 1e-9)
+        found = written(best(_meet(looked(rest), looked(right_), t, near).where(F.col("similarity") >= t - 1e-9)), "nearest")
+        done.append(found)
+        rest = rest.join(found.select("left_key"), "left_key", "left_anti")
+        if rest.isEmpty():
+            break
+    else:
+        half = F.ceil(F.size("held") / 2).cast("int")
+        whole = right_.withColumn("look", F.col("held"))
+        some = written(best(_meet(rest.withColumn("look", F.slice("held", F.lit(1), half)), whole, 0.0, F.lit(True))), "nearest")
+        more = F.size("held") - half
+        left_over = rest.join(some.select("left_key", F.col("similarity").alias("s")), "left_key").where(more >= F.col("s") * F.col("size") - 1e-9)
+        commoner = left_over.withColumn("look", F.slice("held", half + 1, F.greatest(more, F.lit(0)))).withColumn("skip", half)
+        bound = F.size("look") / F.col("s") + F.size("look") - F.col("size") + 1e-6
+        done += [some, best(_meet(commoner.withColumn("most", bound).drop("s"), whole, 0.0, F.col("size2") <= F.col("most")))]
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return best(out)

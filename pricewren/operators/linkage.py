@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricewren.functions.text import dose_tokens, search_text
-from pricewren.operators.fuzzy import similarity_join, word_similarity_join
+from pricewren.operators.fuzzy import nearest, similarity_join, word_similarity_join
 from pricewren.operators.topk import first_of
+from pricewren.tables import written
 
 #: Least similarity of the word and the trigram stages.
 WORD, TRIGRAM = 0.88, 0.85
-#: Below the similarity of any two names that share a trigram.
-ANY = 1e-6
 
 
 def barrier(query_dose: Column, catalog_dose: Column) -> Column:
@@ -25,24 +24,23 @@ def link(queries: DataFrame, catalog: DataFrame, dictionary: DataFrame | None =
     and ``reason``.
 
     catalog: item, name. dictionary: name (as search_text makes it), item. Names are compared as search_text; ties go
-    to the least item. Every stage only sees what earlier ones left, and every stage is an equi-join: on names or on
-    shared rare trigrams. A row without a match has no item, but the catalog item whose name has the greatest trigram
-    similarity of all that share any trigram with it, for review, and why it isn't a match: NO_CANDIDATES,
-    CONCENTRATION_MISMATCH (the closest item's doses differ) or BELOW_THRESHOLD.
+    to the least item. Every stage only sees what earlier ones left, writes what it found as a table, and is an
+    equi-join: on names or on shared rare trigrams. A row without a match has no item, but the catalog item whose name
+    has the greatest trigram similarity of all that share any trigram with it, for review, and why it isn't a match:
+    NO_CANDIDATES, CONCENTRATION_MISMATCH (the closest item's doses differ) or BELOW_THRESHOLD.
     """
     named = queries.select(F.col("id").alias("row_id"), search_text(F.col("name")).alias("name"), dose_tokens(F.col("name")).alias("dose"))
     # rows with the same name and dose are linked once
-    q = named.select("name", "dose").distinct().withColumn("id", F.struct("name", "dose"))
-    c = catalog.select("item", search_text(F.col("name")).alias("c_name"), dose_tokens(F.col("name")).alias("c_dose"))
+    q = written(named.select("name", "dose").distinct().withColumn("id", F.struct("name", "dose")), "names")
+    c = written(catalog.select("item", search_text(F.col("name")).alias("c_name"), dose_tokens(F.col("name")).alias("c_dose")), "catalog")
     done = []
 
     def take(found: DataFrame, stage: str, score: Column) -> None:
         nonlocal q
         best = first_of(found.withColumn("confidence", score), ["id"], [F.col("confidence").desc(), F.col("item")])
-        # kept, as every later stage reads what is left: computed anew, each stage would run all before it several times
-        got = best.select("id", "item", F.lit(stage).alias("stage"), "confidence").persist()
+        got = written(best.select("id", "item", F.lit(stage).alias("stage"), "confidence"), stage)
         done.append(got)
-        q = q.join(got.select("id"), "id", "left_anti").persist()
+        q = q.join(got.select("id"), "id", "left_anti")
 
     if dictionary is not None:
         take(q.join(dictionary, "name"), "dictionary", F.lit(1.0))
@@ -55,11 +53,10 @@ def link(queries: DataFrame, catalog: DataFrame, dictionary: DataFrame | None =
     pairs = similarity_join(q.select(F.col("id").alias("key"), "name"), c.select(F.col("item").alias("key"), F.col("c_name").alias("name")), "key", "name", TRIGRAM)
     fuzzy = pairs.select(F.col("left_key").alias("id"), F.col("right_key").alias("item"), "similarity").join(q.select("id", "dose"), "id").join(c.select("item", "c_dose"), "item").where(ok)
     take(fuzzy, "trigram", F.col("similarity"))
-    pairs = similarity_join(distinct(q, "name"), distinct(c, "c_name"), "key", "name", ANY)
-    likely = pairs.select(F.col("left_key").alias("name"), F.col("right_key").alias("c_name"), "similarity")
-    # the best similarity first, then the least item with it: pairs of names stay pairs until one score a name is left
-    top = likely.groupBy("name").agg(F.max("similarity").alias("similarity"))
-    near = first_of(likely.join(top, ["name", "similarity"]).join(c, "c_name"), ["name"], [F.col("item")]).select("name", "similarity", F.col("item").alias("closest"), "c_dose")
+    # of catalog rows with one name the least item stands for all
+    one = c.groupBy("c_name").agg(F.min(F.struct("item", "c_dose")).alias("key")).select("key", F.col("c_name").alias("name"))
+    closest = nearest(distinct(q, "name"), one.withColumn("key", F.struct("key.item", "name", "key.c_dose")), "key", "name")
+    near = closest.select(F.col("left_key").alias("name"), "similarity", F.col("right_key.item").alias("closest"), F.col("right_key.c_dose").alias("c_dose"))
     reason = F.when(F.col("closest").isNull(), "NO_CANDIDATES").when(~ok, "CONCENTRATION_MISMATCH").otherwise("BELOW_THRESHOLD")
     out = q.join(near, "name", "left").select("id", F.lit(None).cast(catalog.schema["item"].dataType).alias("item"), F.lit("none").alias("stage"), F.lit(0.0).alias("confidence"), "closest", F.col("similarity").alias("closest_similarity"), reason.alias("reason"))
     for part in done:
