@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewren.functions import drugs
@@ -10,7 +10,7 @@ from pricewren.functions.similarity import similarity
 from pricewren.functions.text import ascii_fold
 from pricewren.operators.fuzzy import nearest, similarity_join, word_similarity_join
 from pricewren.operators.topk import first_of
-from pricewren.tables import written
+from pricewren.tables import hadoop_path, written
 
 # Least similarities, and the scope of names that belong to no hospital.
 WORD, TRIGRAM, EVERYWHERE = 0.88, 0.85, "GLOBAL"
@@ -109,3 +109,22 @@ def match_names(queries: DataFrame, catalog: DataFrame, resolutions: DataFrame |
         picked += [F.when(~mine, F.col(f"any.{x}")).alias(x) for x in ("closest", "closest_similarity", "reason")]
         found = scoped.join(general, "name", "left").join(first, ["hospital", "name"], "left").select("id", "name", *picked)
     return found.join(q.select("name", "warnings"), "name", "left").select(*columns).unionByName(failed, allowMissingColumns=True)
+
+
+RESOLUTIONS = "hospital string, name string, item string, confidence double, resolved_by string, resolved_at timestamp"
+
+
+def record_resolutions(rows: DataFrame, path: str) -> None:
+    """Append what people have resolved: hospital (null: everywhere), name and item, and optionally confidence, resolved_by and resolved_at (now)."""
+    have = lambda name, kind, default: F.coalesce(F.col(name).cast(kind), default) if name in rows.columns else default
+    kept = rows.select(
+        F.coalesce("hospital", F.lit(EVERYWHERE)).alias("hospital"), "name", F.col("item").cast("string").alias("item"), have("confidence", "double", F.lit(1.0)).alias("confidence"),
+        have("resolved_by", "string", F.lit("HUMAN")).alias("resolved_by"), have("resolved_at", "timestamp", F.current_timestamp()).alias("resolved_at"),
+    )
+    kept.write.mode("append").parquet(path)
+
+
+def recorded_resolutions(spark: SparkSession, path: str) -> DataFrame:
+    """All that record_resolutions() has appended; no rows before the first."""
+    found, system = hadoop_path(spark, path)
+    return spark.read.schema(RESOLUTIONS).parquet(path) if system.exists(found) else spark.createDataFrame([], RESOLUTIONS)

@@ -5,9 +5,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from pricewren.plans import catalog, queries
+from pricewren.plans import catalog, queries, stores
 
-QUERIES, SQL = queries.QUERIES | catalog.QUERIES, queries.SQL | catalog.SQL
+QUERIES, SQL = queries.QUERIES | catalog.QUERIES | stores.QUERIES, queries.SQL | catalog.SQL | stores.SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
