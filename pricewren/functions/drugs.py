@@ -209,6 +209,34 @@ def same_concentration(a: Column, b: Column) -> Column:
     return b.isNull() | F.coalesce((a["value"] == b["value"]) & (F.lower(a["unit"]) == F.lower(b["unit"])), F.lit(False))
 
 
+def outside_plus(c: Column) -> Column:
+    """FN-PARSE-05: a text divided at the plus signs outside brackets and parentheses.
+
+    The depth rises with each opening sign and falls with each closing one, not below 0. Where it stands after a piece
+    follows from the piece's sum of steps and its lowest point: the signs' clamped sum.
+    """
+    signs = lambda x: F.regexp_extract_all(x, F.lit(r"[()\[\]]"), F.lit(0))
+
+    def steps(x: Column) -> Column:
+        def step(s: Column, sign: Column) -> Column:
+            total = s["total"] + F.when(sign.isin("(", "["), 1).otherwise(-1)
+            return F.struct(total.alias("total"), F.least(s["low"], total).alias("low"))
+
+        return F.aggregate(signs(x), F.struct(F.lit(0).alias("total"), F.lit(0).alias("low")), step)
+
+    pieces = F.transform(F.split(c, r"\+"), lambda x: F.struct(x.alias("text"), steps(x).alias("steps")))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("depth"))
+
+    def take(s: Column, piece: Column) -> Column:
+        ends = s["now"].isNotNull() & (s["depth"] == 0)
+        done = F.when(ends, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"])
+        now = F.when(s["now"].isNull() | ends, piece["text"]).otherwise(F.concat(s["now"], F.lit("+"), piece["text"]))
+        return F.struct(done.alias("done"), now.alias("now"), (piece["steps"]["total"] + F.greatest(s["depth"], -piece["steps"]["low"])).alias("depth"))
+
+    whole = F.aggregate(pieces, start, take, lambda s: F.concat(s["done"], F.array(s["now"])))
+    return F.when(c.rlike(r"[()\[\]]"), whole).otherwise(F.split(c, r"\+"))
+
+
 def parse_names(names: DataFrame, column: str) -> DataFrame:
     """One row for each distinct text in column: itself and what it is read as.
 
@@ -227,8 +255,7 @@ def parse_names(names: DataFrame, column: str) -> DataFrame:
     endings = "|".join(name.replace(".", r"\.") for name, _, _ in _forms())
     d = d.withColumn("raw_form", F.nullif(F.regexp_extract("bare", rf"(?:{endings})$", 0), F.lit("")))
     d = d.withColumn("rest", strip(F.expr("left(bare, length(bare) - coalesce(length(raw_form), 0))")))
-    # a plus sign behind an opening sign that isn't closed doesn't divide
-    parts = F.filter(F.transform(F.split("rest", r"(?<![(\[][^)\]]{0,400})\+"), strip), lambda x: x != "")
+    parts = F.filter(F.transform(outside_plus(F.col("rest")), strip), lambda x: x != "")
     d = d.withColumn("parts", F.when(F.size(parts) == 0, F.array("rest")).otherwise(parts))
     head = lambda x: F.regexp_extract(x, rf"(?s)^(.*?)(?:{DOSE})", 1)
     read = F.transform("parts", lambda x: F.struct(F.when(x.rlike(DOSE), strip(head(x))).otherwise(strip(x)).alias("inn"), F.when(x.rlike(DOSE), strip(F.substring(x, F.length(head(x)) + 1, F.length(x)))).alias("dose")))

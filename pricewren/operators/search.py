@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pricewren.functions.catalog import STOP_WORDS
 from pricewren.functions.text import LETTERS, tokens
+from pricewren.tables import written
 
 
 def matches_all(text: Column, words: list[str]) -> Column:
@@ -16,19 +17,22 @@ def matches_all(text: Column, words: list[str]) -> Column:
     return F.forall(F.array(*map(F.lit, words)), lambda w: F.array_contains(tokens(text), w))
 
 
+def safe_words(query: str, most: int = 18) -> list[str]:
+    """FN-RNK-02: the first ``most`` words of a query of which only a-z, digits and spaces are left, in lower case."""
+    return re.sub(r"[^a-zA-Z0-9 ]+", " ", query).lower().split()[:most]
+
+
 def bm25(docs: DataFrame, key: str, text: str, words: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key and ``score`` of every document that has any of words.
+    """key and ``score`` of every document that has any of words, which are tokens: runs of letters and digits.
 
-    One pass counts lengths and the words' frequencies inside each row; the only shuffles are of sums, so nothing
-    grows with the collection but the result.
+    One pass counts lengths and the words' frequencies inside each row, without lists of tokens, and writes these numbers
+    alone; the only shuffles are of sums, so nothing grows with the collection but the result.
     """
-    own = tokens(F.col(text))
     words = sorted(set(words))
-
-    def times(word: str) -> Column:
-        return F.size(F.filter("tokens", lambda x: x == word))
-
-    counted = docs.select(key, own.alias("tokens")).select(key, F.size("tokens").alias("length"), *(times(w).alias(f"tf{i}") for i, w in enumerate(words)))
+    sign = r"[\p{L}\p{N}]"
+    times = lambda w: F.regexp_count("low", F.lit(rf"(?<!{sign}){re.escape(w)}(?!{sign})"))
+    low = docs.select(key, F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("low"))
+    counted = written(low.select(key, F.regexp_count("low", F.lit(rf"{sign}+")).alias("length"), *(times(w).alias(f"tf{i}") for i, w in enumerate(words))), "bm25")
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words)))).first()
     score = F.lit(0.0)
     for i in range(len(words)):
@@ -65,17 +69,24 @@ def cover_density(docs: DataFrame, key: str, text: str, words: list[str]) -> Dat
     """key and ``rank`` of every document that has all of words: 0.1 / (1 + noise), summed over its covers.
 
     A cover is a stretch of tokens with all words that has no smaller one in it; its noise is how many other tokens it
-    holds. Where a cover that starts at some word ends is the last of the words' next places.
+    holds. One pass over the hits in order keeps the words' last places: where all words have come, the least of these
+    places starts the shortest stretch that ends at the hit, and it is a cover if none before starts as late. The hits
+    that it holds are those from its start on, of which each hit has its number.
     """
     words = sorted(set(words))
-    own = docs.select(key, tokens(F.col(text)).alias("tokens"))
-    places = lambda w: F.filter(F.transform("tokens", lambda x, i: F.when(x == w, i)), lambda x: x.isNotNull())
-    at = own.select(key, F.array(*map(places, words)).alias("at")).where(F.forall("at", lambda x: F.size(x) > 0)).withColumn("all", F.array_sort(F.flatten("at")))
-    after = lambda x, s: F.array_min(F.filter(x, lambda p: p >= s))
-    ends = F.transform("all", lambda s: F.struct(s.alias("s"), F.transform("at", lambda x: after(x, s)).alias("next")))
-    whole = F.filter(ends, lambda c: F.forall(c["next"], lambda x: x.isNotNull()))
-    spans = at.withColumn("spans", F.transform(whole, lambda c: F.struct(c["s"].alias("s"), F.array_max(c["next"]).alias("e"))))
-    # of the stretches with one end only the last to start is a cover
-    last = F.filter("spans", lambda c, i: F.coalesce(F.get("spans", i + 1)["e"] != c["e"], F.lit(True)))
-    share = F.transform(last, lambda c: F.lit(0.1) / (2 + c["e"] - c["s"] - F.size(F.filter("all", lambda x: (x >= c["s"]) & (x <= c["e"])))))
-    return spans.select(key, F.aggregate(share, F.lit(0.0), lambda a, x: a + x).alias("rank"))
+    own = docs.select(key, tokens(F.col(text)).alias("tokens")).where(F.forall(F.array(*map(F.lit, words)), lambda w: F.array_contains("tokens", w)))
+    hits = F.filter(F.transform("tokens", lambda x, i: F.when(x.isin(*words), F.struct(i.alias("at"), x.alias("word")))), lambda x: x.isNotNull())
+    at = own.select(key, hits.alias("hits"))
+    none = F.lit(-1)
+    place = lambda at, number: F.struct(at.alias("at"), number.alias("number"))
+    start = F.struct(F.array(*(place(none, none) for _ in words)).alias("last"), none.alias("began"), none.alias("number"), F.lit(0.0).alias("sum"))
+
+    def step(s: Column, hit: Column) -> Column:
+        number = s["number"] + 1
+        last = F.array(*(F.when(hit["word"] == w, place(hit["at"], number)).otherwise(F.get(s["last"], F.lit(i))) for i, w in enumerate(words)))
+        first = F.array_min(last)
+        cover = (first["at"] >= 0) & (first["at"] > s["began"])
+        noise = hit["at"] - first["at"] - (number - first["number"])
+        return F.struct(last.alias("last"), F.when(cover, first["at"]).otherwise(s["began"]).alias("began"), number.alias("number"), (s["sum"] + F.when(cover, F.lit(0.1) / (1 + noise)).otherwise(0.0)).alias("sum"))
+
+    return at.select(key, F.aggregate("hits", start, step, lambda s: s["sum"]).alias("rank"))

@@ -102,6 +102,15 @@ class FeedReader(DataSourceReader):
     def __init__(self, schema, options: dict[str, str]):
         self.feed = Feed(schema, options)
 
+    def partitions(self) -> list[Pages]:
+        self.feed.only_latest()
+        return self.feed.split(0, self.feed.end(self.feed.limit) if self.feed.total is None else self.feed.total)
+
+    def read(self, partition: Pages) -> Iterator[tuple]:
+        return self.feed.read(partition)
+
+
+class PushingFeedReader(FeedReader):
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         """Comparisons of columns with texts go into the feed's own filter; all others are left to Spark."""
         for f in filters:
@@ -115,13 +124,6 @@ class FeedReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Pages]:
-        self.feed.only_latest()
-        return self.feed.split(0, self.feed.end(self.feed.limit) if self.feed.total is None else self.feed.total)
-
-    def read(self, partition: Pages) -> Iterator[tuple]:
-        return self.feed.read(partition)
-
 
 class FeedStream(DataSourceStreamReader):
     """A feed to whose end rows are added: offsets are numbers of rows."""
@@ -152,7 +154,7 @@ class PagedFeed(DataSource):
     total is the number of rows; without it the end is found by requests of one row. ends tells how a partition's pages
     end: with ``empty`` (the default) at an empty page, with ``short`` also at one that isn't full. latest names a column of
     which only rows with the greatest value are wanted. start is a stream's first row. The schema is given; all columns are
-    texts. Filters are pushed into the feed where spark.sql.python.filterPushdown.enabled is set.
+    texts. With push=true filters go into the feed, which takes spark.sql.python.filterPushdown.enabled.
     """
 
     @classmethod
@@ -160,7 +162,7 @@ class PagedFeed(DataSource):
         return "paged_feed"
 
     def reader(self, schema):
-        return FeedReader(schema, self.options)
+        return (PushingFeedReader if self.options.get("push") == "true" else FeedReader)(schema, self.options)
 
     def streamReader(self, schema):
         return FeedStream(schema, self.options)

@@ -56,9 +56,7 @@ def feed(spark):
     Server.records = [{"k": str(i), "day": f"2024/01/{1 + i % 3:02d}", "v": None if i % 5 == 0 else i} for i in range(23)]
     Server.asked, Server.failures, Server.page, Server.port = [], [], 10_000, server.server_port
     spark.dataSource.register(PagedFeed)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     yield lambda **o: spark.read.format("paged_feed").schema("k string, day string, v string").options(url=f"http://127.0.0.1:{server.server_port}/", wait="0.01", **o)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
     server.shutdown()
 
 
@@ -84,11 +82,13 @@ def test_pages_end_by_either_rule(feed):
         feed(limit=4, ends="never").load().collect()
 
 
-def test_filters_and_the_latest_day_reach_the_feed(feed):
-    got = feed(limit=4).load().where("day = '2024/01/02' and v is not null and length(k) = 1")
+def test_filters_and_the_latest_day_reach_the_feed(spark, feed):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    got = feed(limit=4, push="true").load().where("day = '2024/01/02' and v is not null and length(k) = 1")
     assert keys(got) == [1, 4, 7]
     wheres = {q.get("$where", "") for q in Server.asked}
     assert all("day = '2024/01/02'" in w and "v IS NOT NULL" in w and "length" not in w for w in wheres)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
     Server.asked.clear()
     assert keys(feed(limit=4, latest="day").load()) == [i for i in range(23) if i % 3 == 2]
     assert Server.asked[0]["$select"] == "max(day) as most" and all(q["$where"] == "(day='2024/01/03')" for q in Server.asked[1:])
