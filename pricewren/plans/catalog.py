@@ -193,7 +193,8 @@ from (select o_orderkey, l_linenumber, l_partkey, l_suppkey as l_suppkey_ from o
 def quotation_export(spark, sf_dir):
     """JN-06, PRJ-12, PRJ-16, SNK-10, FLT-14: quotation lines joined to their match and its best price, flat."""
     lines = table(spark, sf_dir, "orders").select("o_orderkey").join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey"), "o_orderkey")
-    match = table(spark, sf_dir, "part").where("p_size <= 40").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_retailprice")
+    kept = lambda c: F.when(F.col("p_size") <= 40, F.col(c)).alias(c)
+    match = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), kept("p_name"), kept("p_retailprice"))
     best = topk.first_of(prices(spark, sf_dir), ["l_partkey"], [F.col("price").asc_nulls_last(), *TIE]).select("l_partkey", "price")
     place = F.row_number().over(Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     state = F.when(F.col("p_name").isNull(), "NO_MATCH").when(F.col("price").isNull(), "NO_PRICE").when(F.col("price") > F.col("p_retailprice"), "ABOVE_CEILING").otherwise("OK")
@@ -216,7 +217,7 @@ def staging_states(spark, sf_dir):
 def published_prices(spark, sf_dir):
     """PRJ-09: staged rows with their own item or, without one, the catalog's, at one time of publication."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.col("l_extendedprice").alias("price"))
-    items = table(spark, sf_dir, "part").where("p_size <= 40").select(F.col("p_partkey").alias("found"), F.col("p_partkey").alias("l_partkey"))
+    items = table(spark, sf_dir, "part").select(F.when(F.col("p_size") <= 40, F.col("p_partkey")).alias("found"), F.col("p_partkey").alias("l_partkey"))
     own = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey"))
     return lines.join(items, "l_partkey", "left").select("l_orderkey", "l_linenumber", "l_suppkey", F.coalesce(own, "found").alias("item"), "price", F.lit("2026-01-01").alias("published"))
 
@@ -231,8 +232,8 @@ def items_of_supplier(spark, sf_dir):
 @query("select p_partkey, p_name, coalesce(m, p_retailprice) as p_retailprice from part left join (select l_partkey, min(l_extendedprice / l_quantity) as m from lineitem where l_returnflag = 'R' group by 1) on l_partkey = p_partkey")
 def refreshed_prices(spark, sf_dir):
     """JN-10: prices replaced by the least one of returned lines where there is one."""
-    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
-    least = returned.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("p_retailprice"))
+    returned = F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice") / F.col("l_quantity"))
+    least = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min(returned).alias("p_retailprice"))
     return merge.refresh(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice"), least, "p_partkey", ["p_retailprice"])
 
 
@@ -241,7 +242,7 @@ def item_rows(spark, sf_dir):
     """JN-03, PRJ-13: each item with its market price, if any, and whether it is among the regulated ones."""
     market = prices(spark, sf_dir).groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("price").alias("market"))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    ceilings = parts.where("p_size <= 40").select("p_partkey", F.lit(True).alias("held"))
+    ceilings = parts.select("p_partkey", F.when(F.col("p_size") <= 40, True).alias("held"))
     return parts.join(market, "p_partkey", "left").join(ceilings, "p_partkey", "left").select("p_partkey", "p_name", "market", F.col("held").isNotNull().alias("regulated"))
 
 

@@ -58,13 +58,13 @@ def best_price_per_item(spark, sf_dir):
 
 
 #: Ceilings of the regulated items; others have none.
-CEILINGS = "(select p_partkey, p_retailprice from part where p_type <> 'ECONOMY')"
+CEILINGS = "(select p_partkey, case when p_type <> 'ECONOMY' then p_retailprice end as p_retailprice from part)"
 
 
 @query(f"select l_partkey, price, compliant, s_name from (select l_partkey, l_suppkey, price, price <= p_retailprice as compliant, row_number() over (partition by l_partkey order by coalesce(price <= p_retailprice, false) desc, price, {ROW}) as rn from {PRICES} left join {CEILINGS} on p_partkey = l_partkey) left join supplier on s_suppkey = l_suppkey where rn = 1")
 def compliant_best_price(spark, sf_dir):
     """CMP-01, JN-04: the cheapest price below the regulated ceiling, else the cheapest; items without a ceiling are there too."""
-    p = table(spark, sf_dir, "part").where("p_type <> 'ECONOMY'").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_type") != "ECONOMY", F.col("p_retailprice")).alias("p_retailprice"))
     all_ = prices(spark, sf_dir).join(p, "l_partkey", "left").withColumn("compliant", F.col("price") <= F.col("p_retailprice"))
     best = topk.first_of(all_, ["l_partkey"], [F.coalesce("compliant", F.lit(False)).desc(), F.col("price").asc_nulls_last(), *TIE])
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
@@ -114,18 +114,26 @@ def quotation_summary(spark, sf_dir):
     return s.select("total", "priced", (F.col("total") - F.col("priced")).alias("unpriced"), rate.alias("rate"))
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem where l_partkey in (select p_partkey from part where p_size <= 25)")
+_SHIFTED = "(select p_partkey + (select cast(floor(max(p_partkey) / 3) as bigint) from part) from part)"
+
+
+def _shifted(spark, sf_dir):
+    """All catalog keys, shifted by a third of them, so that some of the lines' keys aren't there."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"))
+    shift = (p.agg(F.max("l_partkey").alias("m")).first()["m"] or 0) // 3
+    return p.select((F.col("l_partkey") + shift).alias("l_partkey"))
+
+
+@query(f"select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem where l_partkey in {_SHIFTED}")
 def matched_split(spark, sf_dir):
     """JN-08: rows whose key is in the catalog."""
-    p = table(spark, sf_dir, "part").where("p_size <= 25").select(F.col("p_partkey").alias("l_partkey"))
-    return table(spark, sf_dir, "lineitem").join(p, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return table(spark, sf_dir, "lineitem").join(_shifted(spark, sf_dir), "l_partkey", "left_semi").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem where l_partkey not in (select p_partkey from part where p_size <= 25)")
+@query(f"select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem where l_partkey not in {_SHIFTED}")
 def orphan_split(spark, sf_dir):
     """JN-08, JN-09: rows whose key isn't."""
-    p = table(spark, sf_dir, "part").where("p_size <= 25").select(F.col("p_partkey").alias("l_partkey"))
-    return table(spark, sf_dir, "lineitem").join(p, "l_partkey", "left_anti").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return table(spark, sf_dir, "lineitem").join(_shifted(spark, sf_dir), "l_partkey", "left_anti").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 @query("select user_id, event_type, event_id, value from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as rn from events) where rn = 1")
@@ -296,7 +304,7 @@ def linkage_stages(spark, sf_dir):
     altered = F.when(k == 0, F.upper("p_name")).when(k == 1, F.concat("p_name", F.lit("s"))).when(k == 2, F.concat(F.lit("the "), F.col("p_name"))).otherwise(F.concat(F.lit("zq "), F.substring("p_name", 1, 3)))
     # synonyms for a part of the abbreviated names; the others go on to the later stages
     synonym = F.concat(F.lit("zq "), F.substring("name", 1, 3)).alias("name")
-    dictionary = catalog.where(F.col("name") < "h").select(synonym, "item").groupBy("name").agg(F.min("item").alias("item"))
+    dictionary = catalog.select(F.when(F.col("name") < "h", synonym).alias("name"), "item").groupBy("name").agg(F.min("item").alias("item"))
     return linkage.link(p.select(F.col("p_partkey").alias("id"), altered.alias("name")), catalog, dictionary)
 
 
@@ -354,12 +362,12 @@ def homologation_margin(spark, sf_dir):
     return best.select("left_key", "right_key", "score", "margin", ((F.col("score") >= 0.93) & (F.col("margin") >= 0.10)).alias("accepted"))
 
 
-@query("select p.p_partkey, p.p_brand || '-' || p.p_size as key, cast(coalesce(n, 0) as bigint) as n from part p left join (select p_brand || '-' || p_size as k, count(*) as n from part join lineitem on l_partkey = p_partkey where l_quantity > 45 group by 1) on k = p_brand || '-' || p_size")
+@query("select p.p_partkey, p.p_brand || '-' || p.p_size as key, cast(coalesce(n, 0) as bigint) as n from part p left join (select p_brand || '-' || p_size as k, count(*) as n from part join lineitem on l_partkey = p_partkey group by 1) on k = p_brand || '-' || p_size")
 def derived_key_cross(spark, sf_dir):
     """C10, JN-12, PRJ-14: consumption crossed with the master on a derived key."""
     key = F.concat_ws("-", "p_brand", "p_size")
     p = table(spark, sf_dir, "part")
-    used = table(spark, sf_dir, "lineitem").where("l_quantity > 45").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
+    used = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
     by_key = used.join(p, "p_partkey").groupBy(key.alias("key")).agg(F.sum("n").alias("n"))
     return p.select("p_partkey", key.alias("key")).join(by_key, "key", "left").select("p_partkey", "key", F.coalesce("n", F.lit(0)).alias("n"))
 

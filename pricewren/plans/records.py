@@ -52,7 +52,7 @@ def market_prices(spark, sf_dir):
 @query(
     r"""with c as (select cast(p_partkey as varchar) as id_cum, case when p_partkey % 3 = 0 then null else p_name || '  X' || p_size end as d, p_type as p, case when p_partkey % 2 = 0 then p_brand end as pa, ['Vigente', 'ACTIVO', 'Vencido', null][p_partkey % 4 + 1] as st from part),
 n as (select id_cum, lower(trim(regexp_replace(coalesce(d, p, '') || ' ' || coalesce(pa, ''), '\s+', ' ', 'g'))) as nombre_limpio, pa as principio_activo, st as estado_cum, lower(coalesce(st, '')) in ('vigente', 'activo') as activo from c)
-select id_cum, nombre_limpio, principio_activo, estado_cum, activo, 'pending' as embedding_status from n union all select cast(-1 - p_partkey as varchar), 'old', null, null, true, 'ready' from part where p_partkey % 5 = 0"""
+select id_cum, nombre_limpio, principio_activo, estado_cum, activo, 'pending' as embedding_status from n union all select cast(-1 - p_partkey as varchar), 'old', null, null, true, 'ready' from part"""
 )
 def catalog_products(spark, sf_dir):
     """PRJ-06, SNK-05: the product table after catalog rows are merged in by key; what isn't in them stays."""
@@ -63,8 +63,7 @@ def catalog_products(spark, sf_dir):
         F.col("p_partkey").cast("string").alias("id_cum"), described.alias("descripcioncomercial"), F.col("p_type").alias("producto"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("principioactivo"), state.alias("estadocum"), *(null.alias(c) for c in ("titular", "formafarmaceutica", "registrosanitario", "atc"))
     )
     fresh = records.products(rows)
-    keys = F.explode(F.array(F.col("p_partkey"), F.when(F.col("p_partkey") % 5 == 0, -1 - F.col("p_partkey"))))
-    old = p.where("p_partkey % 5 = 0 or p_partkey % 3 = 0").select(keys.alias("k")).where("k < 0 or (k % 3 = 0 and k > 0)")
+    old = p.select(F.explode(F.array(F.col("p_partkey"), -1 - F.col("p_partkey"))).alias("k"))
     old = old.select(F.col("k").cast("string").alias("id_cum"), F.lit("old").alias("nombre_limpio"), *(null.alias(c) for c in ("laboratorio", "principio_activo", "forma_farmaceutica", "registro_invima", "atc", "estado_cum")), F.lit(True).alias("activo"), F.lit("ready").alias("embedding_status"))
     return merge.merge(old, fresh, ["id_cum"]).select("id_cum", "nombre_limpio", "principio_activo", "estado_cum", "activo", "embedding_status")
 
@@ -141,13 +140,13 @@ def quotation_filters(spark, sf_dir):
 
 
 @query(
-    f"""with b as (select *, min(price) over (partition by l_partkey) as lo from {PRICES}), d as (select b.*, p_retailprice, case when price <> lo then (price - lo) / lo * 100 end as dev from b left join part on p_partkey = l_partkey and p_partkey % 2 = 0)
-select l_partkey, l_suppkey, l_orderkey, l_linenumber, price = lo as is_best, floor(dev * 10000 + 0.5) / 10000 as deviation, case when dev <= 5 then 'low' when dev <= 20 then 'medium' when dev is not null then 'high' end as band, coalesce(price > p_retailprice, false) as exceeds from d"""
+    f"""with b as (select *, min(price) over (partition by l_partkey) as lo from {PRICES}), d as (select b.*, p_retailprice, case when price <> lo then (price - lo) / lo * 100 end as dev from b left join part on p_partkey = l_partkey)
+select l_partkey, l_suppkey, l_orderkey, l_linenumber, price = lo as is_best, floor(dev * 10000 + 0.5) / 10000 as deviation, case when dev <= 5 then 'low' when dev <= 20 then 'medium' when dev is not null then 'high' end as band, l_partkey % 2 = 0 and price > p_retailprice as exceeds from d"""
 )
 def price_comparison(spark, sf_dir):
     """CMP-02: every price against the item's best one and the ceiling, which half of the items have."""
     low = prices(spark, sf_dir).groupBy("l_partkey").agg(F.min("price").alias("lo"))
-    ceiling = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
+    ceiling = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_retailprice")).alias("p_retailprice"))
     out = prices(spark, sf_dir).join(low, "l_partkey").join(ceiling, "l_partkey", "left").withColumn("v", quotation.compared(F.col("price"), F.col("lo"), F.col("p_retailprice")))
     return out.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "v.is_best", (F.floor(F.col("v.deviation") * 10000 + 0.5) / 10000).alias("deviation"), "v.band", "v.exceeds")
 

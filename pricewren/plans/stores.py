@@ -76,7 +76,7 @@ def matched_names(spark, sf_dir):
     return out.select(F.col("id").alias("p_partkey"), "item", "stage", "confidence", "closest", F.col("closest_similarity").alias("similarity"), "reason")
 
 
-_C2 = "(select p_partkey as k, p_retailprice + case when p_partkey % 3 = 0 then 1 else 0 end as price, case when p_partkey % 5 = 0 then 'C2' else 'C1' end as circular, p_partkey % 3 = 0 or p_partkey % 5 = 0 as changed from part union all select -1 - p_partkey, p_retailprice, 'C2', true from part where p_partkey % 7 = 0)"
+_C2 = "(select p_partkey as k, p_retailprice + case when p_partkey % 3 = 0 then 1 else 0 end as price, case when p_partkey % 5 = 0 then 'C2' else 'C1' end as circular, p_partkey % 3 = 0 or p_partkey % 5 = 0 as changed from part union all select -1 - p_partkey, p_retailprice, 'C2', true from part)"
 
 
 @query(
@@ -91,7 +91,7 @@ def circular_history(spark, sf_dir):
     first = p.select(F.col("p_partkey").cast("string").alias("item"), F.col("p_retailprice").alias("price"), F.lit("C1").alias("circular"), day("2024-01-01"))
     dearer = F.col("p_retailprice") + F.when(F.col("p_partkey") % 3 == 0, 1).otherwise(0)
     second = p.select(F.col("p_partkey").cast("string").alias("item"), dearer.alias("price"), F.when(F.col("p_partkey") % 5 == 0, "C2").otherwise("C1").alias("circular"), day("2024-03-01"))
-    new = p.where("p_partkey % 7 = 0").select((-1 - F.col("p_partkey")).cast("string").alias("item"), F.col("p_retailprice").alias("price"), F.lit("C2").alias("circular"), day("2024-03-01"))
+    new = p.select((-1 - F.col("p_partkey")).cast("string").alias("item"), F.col("p_retailprice").alias("price"), F.lit("C2").alias("circular"), day("2024-03-01"))
     stored = ceilings.ceilings_table(spark, fresh(spark, "ceilings"), 8)
     for rows_ in (first, second.unionByName(new), second.unionByName(new)):
         ceilings.load_circular(stored, rows_)
@@ -124,7 +124,9 @@ def _graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
     """Parts as items, brands as makers, words of names as substances; then rows of a second state, by which a quarter has another maker too."""
     p = table(spark, sf_dir, "part")
     first = p.select(F.col("p_partkey").cast("string").alias("cum"), F.col("p_type").alias("producto"), F.lit("Vigente").alias("estado_origen"), F.lit(None).cast("string").alias("estadocum"), F.when(F.col("p_size") > 3, F.col("p_brand")).otherwise(" ").alias("titular"), F.replace("p_name", F.lit(" "), F.lit(" + ")).alias("principio_activo_raw"))
-    second = p.where("p_partkey % 4 = 0").select(F.col("p_partkey").cast("string").alias("cum"), F.lit("new").alias("producto"), F.lit("").alias("estado_origen"), F.lit("Vencido").alias("estadocum"), F.col("p_type").alias("titular"), F.lit("agua Y sal").alias("principio_activo_raw"))
+    changed = F.col("cum").cast("long") % 4 == 0
+    later = {"producto": F.lit("new"), "estado_origen": F.lit(""), "estadocum": F.lit("Vencido"), "titular": F.col("producto"), "principio_activo_raw": F.lit("agua Y sal")}
+    second = first.withColumns({name: F.when(changed, value).otherwise(F.col(name)) for name, value in later.items()})
     made = graph.merge_rows(graph.empty_graph(spark), graph.golden_rows(first))
     made = graph.Graph(*(written(t, "graph") for t in (made.items, made.makers, made.substances, made.made_by, made.contains)))
     return graph.merge_rows(graph.merge_rows(made, graph.golden_rows(second)), graph.golden_rows(second))
