@@ -13,6 +13,8 @@ from pricewren.tables import written
 STEPS = (0.7, 0.5, 0.3, 0.15)
 #: Right-hand texts with one trigram that are joined under one key; more are dealt over several.
 HOT, MOST_DEALS = 20_000, 1024
+#: nearest() tries no thresholds where there are no more pairs than this in all: it would save less than its rounds cost.
+FEW_PAIRS = 250_000
 
 
 def similarity_join(left: DataFrame, right: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
@@ -119,8 +121,8 @@ def nearest(left: DataFrame, right: DataFrame, key: str, text: str, steps: tuple
     rest, right_ = written(_by_rarity(a, "left_key", counts).withColumn("skip", F.lit(0)), "nearest-left"), written(_by_rarity(b, "right_key", counts), "nearest-right")
     best = lambda found: first_of(found, ["left_key"], [F.col("similarity").desc(), F.col("right_key")])
     none = F.slice("held", F.lit(1), F.lit(0))
-    done = []
-    for t in steps:
+    done, left_over = [], rest.count()
+    for t in steps if left_over * right_.count() > FEW_PAIRS else ():
         # of n trigrams, of which h are held at all, one of the rarest h - t n + 1 is shared
         prefix = (F.size("held") - F.ceil(F.col("size") * F.lit(t) - 1e-9) + 1).cast("int")
         looked = lambda df, p=prefix: df.withColumn("look", F.when(p > 0, F.slice("held", F.lit(1), F.greatest(p, F.lit(0)))).otherwise(none))
@@ -128,15 +130,16 @@ def nearest(left: DataFrame, right: DataFrame, key: str, text: str, steps: tuple
         found = written(best(_meet(looked(rest), looked(right_), t, near).where(F.col("similarity") >= t - 1e-9)), "nearest")
         done.append(found)
         rest = rest.join(found.select("left_key"), "left_key", "left_anti")
-        if rest.isEmpty():
+        left_over -= found.count()
+        if not left_over:
             break
     else:
         half = F.ceil(F.size("held") / 2).cast("int")
         whole = right_.withColumn("look", F.col("held"))
         some = written(best(_meet(rest.withColumn("look", F.slice("held", F.lit(1), half)), whole, 0.0, F.lit(True))), "nearest")
         more = F.size("held") - half
-        left_over = rest.join(some.select("left_key", F.col("similarity").alias("s")), "left_key").where(more >= F.col("s") * F.col("size") - 1e-9)
-        commoner = left_over.withColumn("look", F.slice("held", half + 1, F.greatest(more, F.lit(0)))).withColumn("skip", half)
+        open_ = rest.join(some.select("left_key", F.col("similarity").alias("s")), "left_key").where(more >= F.col("s") * F.col("size") - 1e-9)
+        commoner = open_.withColumn("look", F.slice("held", half + 1, F.greatest(more, F.lit(0)))).withColumn("skip", half)
         bound = F.size("look") / F.col("s") + F.size("look") - F.col("size") + 1e-6
         done += [some, best(_meet(commoner.withColumn("most", bound).drop("s"), whole, 0.0, F.col("size2") <= F.col("most")))]
     out = done[0]

@@ -35,24 +35,25 @@ def link(queries: DataFrame, catalog: DataFrame, dictionary: DataFrame | None =
     c = written(catalog.select("item", search_text(F.col("name")).alias("c_name"), dose_tokens(F.col("name")).alias("c_dose")), "catalog")
     done = []
 
-    def take(found: DataFrame, stage: str, score: Column) -> None:
+    def take(found: DataFrame, tag: str) -> None:
         nonlocal q
-        best = first_of(found.withColumn("confidence", score), ["id"], [F.col("confidence").desc(), F.col("item")])
-        got = written(best.select("id", "item", F.lit(stage).alias("stage"), "confidence"), stage)
+        best = first_of(found, ["id"], ["stage", F.col("confidence").desc(), F.col("item")])
+        got = written(best.select("id", "item", "stage", "confidence"), tag)
         done.append(got)
         q = q.join(got.select("id"), "id", "left_anti")
 
-    if dictionary is not None:
-        take(q.join(dictionary, "name"), "dictionary", F.lit(1.0))
+    of = lambda df, stage, score: df.select("id", "item", F.lit(stage).alias("stage"), score.alias("confidence"))
     ok = barrier(F.col("dose"), F.col("c_dose"))
-    take(q.join(c, q["name"] == c["c_name"]).where(ok), "exact", F.lit(1.0))
+    same = of(q.join(c, q["name"] == c["c_name"]).where(ok), "exact", F.lit(1.0))
+    # dictionary and exact come in this order by their names too
+    take(same if dictionary is None else same.unionByName(of(q.join(dictionary, "name"), "dictionary", F.lit(1.0))), "exact")
     distinct = lambda df, name: df.select(F.col(name).alias("name")).distinct().withColumn("key", F.col("name"))
     near = word_similarity_join(distinct(q, "name"), distinct(c, "c_name"), "key", "name", WORD)
     near = near.select(F.col("left_key").alias("name"), F.col("right_key").alias("c_name"), "similarity").join(q, "name").join(c, "c_name").where(ok)
-    take(near, "word", F.col("similarity"))
+    take(of(near, "word", F.col("similarity")), "word")
     pairs = similarity_join(q.select(F.col("id").alias("key"), "name"), c.select(F.col("item").alias("key"), F.col("c_name").alias("name")), "key", "name", TRIGRAM)
     fuzzy = pairs.select(F.col("left_key").alias("id"), F.col("right_key").alias("item"), "similarity").join(q.select("id", "dose"), "id").join(c.select("item", "c_dose"), "item").where(ok)
-    take(fuzzy, "trigram", F.col("similarity"))
+    take(of(fuzzy, "trigram", F.col("similarity")), "trigram")
     # of catalog rows with one name the least item stands for all
     one = c.groupBy("c_name").agg(F.min(F.struct("item", "c_dose")).alias("key")).select("key", F.col("c_name").alias("name"))
     closest = nearest(distinct(q, "name"), one.withColumn("key", F.struct("key.item", "name", "key.c_dose")), "key", "name")

@@ -111,6 +111,7 @@ def test_nearest_is_the_best_of_all_pairs(spark, monkeypatch, hot):
         return out
 
     monkeypatch.setattr(fuzzy, "HOT", hot)
+    monkeypatch.setattr(fuzzy, "FEW_PAIRS", 0 if hot > 100 else 10**9)
     monkeypatch.setattr(fuzzy, "_meet", counted)
     got = {r["left_key"]: (r["right_key"], round(r["similarity"], 9)) for r in fuzzy.nearest(*frames, "key", "t").collect()}
     assert got == best_of_all(left, right)
