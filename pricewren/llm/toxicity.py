@@ -318,10 +318,11 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column) -> ToxicityMode
 
     The sample is bounded: SAMPLE documents of each label, the first by a hash of doc_id, of which those stay whose texts
     fit into SAMPLE_CHARS with all that come before them by length, the shortest first. A document with two different
-    labels counts as toxic. What is learned is bounded by the sample.
+    labels counts as toxic, a null text as empty, and a row that repeats as often as it comes. What is learned is bounded by
+    the sample. Rows without a doc_id have no label.
     """
     marked = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    own = docs.where(learnable).select("doc_id", F.col("text").cast("string").alias("text"))
+    own = docs.where(learnable).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", "size"))
     drawn = own.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("size")).join(marked, "doc_id").withColumn("place", place).where(F.col("place") <= SAMPLE)
     through = F.sum(F.col("size").cast("long")).over(Window.partitionBy("label").orderBy("size", "place"))
