@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricewren.functions import catalog, numbers
-from pricewren.functions.text import graph_text
+from pricewren.functions.text import graph_text, strip_marks
+from pricewren.operators.topk import first_of
 
 # Fields of market prices, and the names under which feeds have them, in order of preference.
 MARKET_FIELDS = {
@@ -103,3 +104,57 @@ def with_doses(description: Column, trade_name: Column, dose: str = DESCRIBED_DO
     found = F.regexp_extract_all(F.coalesce(trade_name, F.lit("")), F.lit(dose), F.lit(0))
     own = F.nullif(F.trim(description), F.lit(""))
     return F.when(own.isNotNull() & ~own.rlike(dose) & (F.size(found) > 0), F.concat_ws(" ", own, F.lower(F.array_join(found, " ")))).otherwise(own)
+
+
+# Columns of the master file that are cleaned, fields of open-data records by kind, and labels of their origins.
+MASTER = ("ESTADO REGISTRO", "ESTADO CUM", "EXPEDIENTE", "CONSECUTIVO", "ATC", "REGISTRO INVIMA", "NOMBRE COMERCIAL", "PRINCIPIO ACTIVO", "FORMA FARMACEUTICA", "LABORATORIO TITULAR")
+NUMBERS = ("expediente", "consecutivocum", "cantidadcum")
+DATES = ("fechaexpedicion", "fechavencimiento", "fechaactivo", "fechainactivo")
+ORIGINS = {"vigentes": "Vigente", "vencidos": "Vencido", "en_tramite": "En tramite", "otros": "Otro"}
+
+
+def master_rows(df: DataFrame, place: str | None = None) -> DataFrame:
+    """PRJ-05: valid and active rows of the master file with a key, of which the last by ``place`` stays (else the greatest of all its columns).
+
+    "Sin dato" counts as empty. The name is the trade name and the substance in lower case, without signs and marks.
+    """
+    clean = lambda c: F.regexp_replace(F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))), "(?i)^sin dato$", "")
+    c = {name: clean(name) for name in MASTER}
+    name = F.trim(F.regexp_replace(F.regexp_replace(F.concat_ws(" ", c["NOMBRE COMERCIAL"], c["PRINCIPIO ACTIVO"]), "[®™]", " "), r"\s+", " "))
+    kept = df.where((F.lower(c["ESTADO REGISTRO"]) == "vigente") & (F.lower(c["ESTADO CUM"]) == "activo"))
+    out = kept.select(
+        F.concat(c["EXPEDIENTE"], F.lit("-"), c["CONSECUTIVO"]).alias("id_cum"), c["ATC"].alias("atc"), c["REGISTRO INVIMA"].alias("registro_invima"), F.concat(c["ESTADO REGISTRO"], F.lit(" / "), c["ESTADO CUM"]).alias("estado_regulatorio"),
+        strip_marks(F.lower(name)).alias("nombre_limpio"), c["LABORATORIO TITULAR"].alias("laboratorio"), c["PRINCIPIO ACTIVO"].alias("principio_activo"), c["FORMA FARMACEUTICA"].alias("forma_farmaceutica"), *([F.col(place).alias("_place")] if place else []),
+    ).where(F.length("id_cum") > 1)
+    others = [F.col(x).desc() for x in out.columns if x not in ("id_cum", "_place")]
+    order = [F.col("_place").desc(), *others] if place else others
+    return first_of(out, ["id_cum"], order).drop("_place")
+
+
+def open_records(df: DataFrame, origin: str, cut_off: str) -> DataFrame:
+    """PRJ-01, PRJ-02: open-data records of one origin with key, numbers, dates, and the origin's state where they have none; rows without a key go."""
+    keyed = df.withColumn("id_cum", catalog.record_key(F.col("expediente"), F.col("consecutivocum")))
+    out = keyed.withColumns({c: numbers.integer(F.col(c)) for c in NUMBERS if c in df.columns} | {c: catalog.instant(F.col(c)) for c in DATES if c in df.columns})
+    state = catalog.or_default(F.col("estadocum"), F.lit(ORIGINS.get(origin, origin)))
+    return out.withColumn("estadocum", state).withColumn("estado_origen", F.lit(origin)).withColumn("fecha_corte_dato", F.lit(cut_off).cast("timestamp")).where("id_cum is not null")
+
+
+def display_text(c: Column) -> Column:
+    """FN-STR-21: a text without signs that couldn't be read, white space squeezed; null counts as empty."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "[\\ufffd?]", ""), r"\s+", " "))
+
+
+def title_case(c: Column) -> Column:
+    """FN-STR-21: display_text() in lower case, with letters in capitals where a word begins.
+
+    A word's border is between an ASCII letter, digit or _ and anything else, so a letter with an accent that follows
+    an ASCII one is a capital too.
+    """
+    signs = F.regexp_extract_all(F.lower(display_text(c)), F.lit("(?s)."), F.lit(0))
+    word = lambda x: x.rlike("^[A-Za-z0-9_]$")
+
+    def cased(x: Column, i: Column) -> Column:
+        before = (i > 0) & F.coalesce(word(F.get(signs, i - 1)), F.lit(False))
+        return F.when(x.rlike(r"^\p{L}$") & (word(x) != before), F.upper(x)).otherwise(x)
+
+    return F.array_join(F.transform(signs, cased), "")

@@ -65,3 +65,9 @@ def refresh(target: DataFrame, source: DataFrame, key: str, columns: list[str])
     new = source.select(key, *(F.col(c).alias(f"_new_{c}") for c in columns))
     fresh = [F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in target.columns]
     return target.join(new, key, "left").select(*fresh)
+
+
+def backfill(target: DataFrame, source: DataFrame, key: str, column: str) -> DataFrame:
+    """JN-10: target with column filled from source where it was null; rows in which it stays null go."""
+    new = source.select(key, F.col(column).alias("_new"))
+    return target.join(new, key, "left").withColumn(column, F.coalesce(column, "_new")).drop("_new").where(F.col(column).isNotNull()).select(*target.columns)

@@ -50,6 +50,16 @@ def contains_all(text: Column, parts: list[str]) -> Column:
     return out
 
 
+def like_inside(text: Column, part: str) -> Column:
+    """FLT-02: whether text holds part, letter case aside, where part's % and _ stand for any signs and any one sign."""
+    return F.lower(F.coalesce(text, F.lit(""))).like(f"%{part.strip().lower()}%")
+
+
+def best_hits(ranked: DataFrame, key: str, rank: str = "rank", distance: str = "distance", k: int = 10) -> DataFrame:
+    """SRT-01: the k first rows by rank, the greatest first, then distance, the least first and none last, then key."""
+    return ranked.orderBy(F.col(rank).desc(), F.col(distance).asc_nulls_last(), F.col(key).asc()).limit(k)
+
+
 def fallback(query: str, text: Column, dose: Column) -> Column:
     """Whether text contains all words of query (stop words and words of one or two letters aside), and, if query has
     numbers, contains any of them or dose is within 0.51 of any. A null dose is near nothing."""

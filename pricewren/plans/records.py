@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricewren.functions import drugs, records
+from pricewren.functions import drugs, records, similarity
 from pricewren.functions.text import dose_tokens
 from pricewren.operators import merge, quotation, search, topk
+from pricewren.plans.catalog import SQL as CATALOG_SQL
 from pricewren.plans.queries import PRICES, ROW, TIE, prices, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +216,61 @@ def first_by_lookup(spark, sf_dir):
     sold = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey")).join(named, "p_partkey")
     least = sold.groupBy("s_suppkey").agg(F.min(F.struct("p_name", "p_partkey")).alias("x"))
     return table(spark, sf_dir, "supplier").select("s_suppkey").join(least, "s_suppkey", "left").select("s_suppkey", F.col("x.p_name").alias("red_item"))
+
+
+@query(
+    """select p_partkey || '-' || p_size as id_cum, 'Vigente / Activo' as estado_regulatorio, lower(p_name) || ' acido ' || lower(p_type) as nombre_limpio, case when p_partkey % 3 = 0 then '' else p_brand end as laboratorio, case when p_partkey % 2 = 0 then 'B' else 'A' end as atc
+from part where p_partkey % 5 <> 4"""
+)
+def master_records(spark, sf_dir):
+    """PRJ-05: master rows twice each, of which the later one counts; every fifth isn't valid, and signs, marks and missing data are cleaned."""
+    p, text = table(spark, sf_dir, "part"), lambda x: F.lit(x)
+    def rows(place):
+        atc = F.when((F.col("p_partkey") % 2 == 0) & F.lit(place == 1), "B").otherwise("A")
+        columns = {
+            "EXPEDIENTE": F.format_string(" %d", "p_partkey"), "CONSECUTIVO": F.col("p_size").cast("string"), "ATC": atc, "REGISTRO INVIMA": text("R"), "NOMBRE COMERCIAL": F.concat(F.upper("p_name"), text("®")), "PRINCIPIO ACTIVO": F.concat(text("ÁCIDO™  "), "p_type"),
+            "FORMA FARMACEUTICA": text("SIN DATO"), "LABORATORIO TITULAR": F.when(F.col("p_partkey") % 3 == 0, "Sin Dato").otherwise(F.col("p_brand")), "ESTADO REGISTRO": F.when(F.col("p_partkey") % 5 == 4, "Vencido").otherwise(" Vigente"), "ESTADO CUM": text("Activo"),
+        }
+        return p.select(*(c.alias(n) for n, c in columns.items()), F.lit(place).alias("place"))
+
+    out = records.master_rows(rows(0).unionByName(rows(1)), "place")
+    return out.select("id_cum", "estado_regulatorio", "nombre_limpio", "laboratorio", "atc")
+
+
+@query(
+    """select printf('%d-%02d', o_orderkey, o_custkey) as id_cum, case when o_orderkey % 3 = 0 then 'Vencido' else o_orderstatus end as estadocum, 'vencidos' as estado_origen, cast(cast(o_orderdate as date) as varchar) as vence from orders"""
+)
+def dated_records(spark, sf_dir):
+    """PRJ-01, PRJ-02: open-data records of an origin, whose state stands in where a record has none."""
+    o = table(spark, sf_dir, "orders")
+    raw = o.select(F.col("o_orderkey").cast("string").alias("expediente"), F.col("o_custkey").cast("string").alias("consecutivocum"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).otherwise("").alias("estadocum"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("fechavencimiento"))
+    out = records.open_records(raw, "vencidos", "2026-03-20")
+    return out.select("id_cum", "estadocum", "estado_origen", F.to_date("fechavencimiento").cast("string").alias("vence"))
+
+
+@query(
+    f"""with r as ({CATALOG_SQL["cover_ranks"]}), q as (select embedding as qe from embeddings where vec_id = 0), d as (select vec_id, 1 - list_cosine_similarity(embedding::double[], qe::double[]) as distance from embeddings, q)
+select doc_id, rank, floor(distance * 10000 + 0.5) / 10000 as distance from r left join d on vec_id = doc_id order by rank desc, floor(distance * 10000 + 0.5) / 10000 asc nulls last, doc_id limit 10"""
+)
+def hybrid_search(spark, sf_dir):
+    """SRT-01, FLT-03, FN-SIM-05: documents with all words by cover density, then by a vector's distance, then by key; the best ten."""
+    ranked = search.cover_density(table(spark, sf_dir, "documents"), "doc_id", "text", ["the", "que"]).select("doc_id", (F.floor(F.col("rank") * 1000000 + 0.5) / 1000000).alias("rank"))
+    e = table(spark, sf_dir, "embeddings")
+    row = e.where("vec_id = 0").select("embedding").first()
+    at = F.array(*(F.lit(float(x)) for x in (row["embedding"] if row else [])))
+    far = e.select(F.col("vec_id").alias("doc_id"), (F.floor((1 - similarity.cosine_similarity(F.col("embedding"), at)) * 10000 + 0.5) / 10000).alias("distance"))
+    return search.best_hits(ranked.join(far, "doc_id", "left"), "doc_id")
+
+
+@query("select l_orderkey, l_linenumber, l_suppkey, coalesce(case when l_linenumber % 2 = 0 then l_partkey end, o_custkey) as owner from lineitem left join (select o_orderkey + 1 as k, o_custkey from orders) on k = l_orderkey where coalesce(case when l_linenumber % 2 = 0 then l_partkey end, o_custkey) is not null")
+def backfilled_rows(spark, sf_dir):
+    """JN-10: a column filled from another table where it was null; rows in which it stays null go."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_suppkey", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey")).alias("owner"))
+    source = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("k"), F.col("o_custkey").alias("owner"))
+    return merge.backfill(lines, source, "k", "owner").withColumnRenamed("k", "l_orderkey")
+
+
+@query("select p_partkey from part where lower(p_type) like '%e_o%y%'")
+def like_filter(spark, sf_dir):
+    """FLT-02: a part of a text with signs that stand for others."""
+    return table(spark, sf_dir, "part").where(search.like_inside(F.col("p_type"), " E_O%Y ")).select("p_partkey")

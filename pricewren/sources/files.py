@@ -49,6 +49,19 @@ def first_column(columns: list[str], candidates: list[str]) -> str:
     raise ValueError(f"none of {', '.join(candidates)} among the columns")
 
 
+# Columns of names in hospital lists, in order of preference.
+NAME_COLUMNS = ("nombre", "Nombre", "NOMBRE", "medicamento", "Medicamento", "MEDICAMENTO", "producto", "Producto", "PRODUCTO", "description", "name")
+
+
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-06: ``name`` of a hospital's list, trimmed; blank rows go. A list without a column of names is an error."""
+    df = read_texts(spark, path)
+    found = next((c for c in NAME_COLUMNS if c in df.columns), None)
+    if found is None:
+        raise ValueError(f"none of {', '.join(NAME_COLUMNS)} among the columns {', '.join(df.columns)}")
+    return df.select(F.trim(F.col(f"`{found}`")).alias("name")).where(F.length("name") > 0)
+
+
 def suggest_mapping(columns: list[str], patterns: dict[str, tuple[str, ...]] | None = None) -> dict[str, str]:
     """Standard field -> column: the first column in which any of the field's patterns is found. A column may feed several fields."""
     out: dict[str, str] = {}

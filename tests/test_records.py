@@ -10,7 +10,7 @@ from pricewren.functions import catalog, drugs, records, text
 from pricewren.functions.similarity import word_similarity
 from pricewren.operators import quotation, search
 from pricewren.plans import records as plans
-from pricewren.sources import folders
+from pricewren.sources import files, folders
 from pricewren.sources.keyset import KeysetReader, KeysetTable
 
 
@@ -133,3 +133,25 @@ def test_expressions_that_queries_use_elsewhere(spark):
     assert [round(r[0], 6) for r in d.select(word_similarity(F.col("a"), F.col("b"))).collect()] == [0.8, 1.0, 0.0, 0.0]
     assert one(spark, text.dose_tokens(F.col("c")), "A 5 MG y 5mg, 2.5 ml") == [["5mg", "2.5ml"]]
     assert plans.QUERIES.keys() == plans.SQL.keys()
+
+
+def test_names_of_hospital_lists(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,Nombre,name\n1, Uno ,q\n2,,q\n3,   ,q\n4,Dos,q\n")
+    (tmp_path / "b.tsv").write_text("x\ty\n1\t2\n")
+    assert sorted(r["name"] for r in files.read_names(spark, str(tmp_path / "a.csv")).collect()) == ["Dos", "Uno"]
+    with pytest.raises(ValueError, match="among the columns x, y"):
+        files.read_names(spark, str(tmp_path / "b.tsv"))
+
+
+def test_display_texts(spark):
+    values = ["  a?\ufffdbC  dE ", None, "o'neil 5mg x_y", "ácido ÚRICO"]
+    assert one(spark, records.display_text(F.col("c")), *values) == ["abC dE", "", "o'neil 5mg x_y", "ácido ÚRICO"]
+    # an accented letter isn't a word sign to the original's border
+    assert one(spark, records.title_case(F.col("c")), *values) == ["Abc De", "", "O'Neil 5mg X_y", "áCido úRico"]
+
+
+def test_patterns_and_hits(spark):
+    d = spark.createDataFrame([(1, "Tableta"), (2, "tab"), (3, None)], "k int, c string")
+    assert sorted(r["k"] for r in d.where(search.like_inside(F.col("c"), "T_b")).collect()) == [1, 2]
+    hits = spark.createDataFrame([(1, 0.5, None), (2, 0.5, 0.3), (3, 0.9, 0.8), (4, 0.5, 0.3)], "k int, rank double, distance double")
+    assert [r["k"] for r in search.best_hits(hits, "k", k=4).collect()] == [3, 2, 4, 1]
