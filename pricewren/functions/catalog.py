@@ -10,12 +10,12 @@ from pricewren.functions.text import ascii_fold, graph_text, search_text
 
 # Abbreviations and what they stand for; codes and words that a product's text loses.
 ABBREVIATIONS = {"claritromi": "claritromicina", "gluco": "glucosamina", "condro": "condroitin"}
-PACK_CODES = "ppsfcox fcox cjax jbefcox grancjax cjaxsob fcoxsob"
-PACKS = r"caja blister frasco ampolla vial tableta tabletas capsula capsulas comprimidos? sobres? parche jeringa unidades? und\.? tab\.? cap\.?"
-PACK_UNITS = "ml mg g mcg ui iu miu"
-FORM_WORDS = r"oral intravenoso iv\b im\b sc\b topico topica inyectable soluble efervescente rectal sublingual inhalador spray solucion suspension emulsion crema gel pomada jarabe gotas"
-SALT_WORDS = "clorhidrato hidrocloruro trihidrato monohidrato dihidrato anhidro mesilato mesilas etabonato besylato tartrato maleato fumarato gluconato"
-SUFFIXES = "col eof ni pps fco cja jbe sob"
+PACK_CODES = ("ppsfcox", "fcox", "cjax", "jbefcox", "grancjax", "cjaxsob", "fcoxsob")
+PACKS = ("caja", "blister", "frasco", "ampolla", "vial", "tableta", "tabletas", "capsula", "capsulas", "comprimidos?", "sobres?", "parche", "jeringa", "unidades?", r"und\.?", r"tab\.?", r"cap\.?")
+PACK_UNITS = ("ml", "mg", "g", "mcg", "ui", "iu", "miu")
+FORM_WORDS = ("oral", "intravenoso", r"iv\b", r"im\b", r"sc\b", "topico", "topica", "inyectable", "soluble", "efervescente", "rectal", "sublingual", "inhalador", "spray", "solucion", "suspension", "emulsion", "crema", "gel", "pomada", "jarabe", "gotas")
+SALT_WORDS = ("clorhidrato", "hidrocloruro", "trihidrato", "monohidrato", "dihidrato", "anhidro", "mesilato", "mesilas", "etabonato", "besylato", "tartrato", "maleato", "fumarato", "gluconato")
+SUFFIXES = ("col", "eof", "ni", "pps", "fco", "cja", "jbe", "sob")
 # Words that don't count in a search.
 STOP_WORDS = (
     "mg", "ml", "g", "mcg", "ug", "meq", "ui", "tableta", "tabletas", "capsula", "capsulas", "cápsula", "cápsulas", "comprimido", "comprimidos", "gragea", "grageas",
@@ -32,8 +32,8 @@ HEADERS = (
 )
 
 
-def _any(words: str) -> str:
-    return "(?:" + words.replace(" ", "|") + ")"
+def _any(words: tuple[str, ...]) -> str:
+    return "(?:" + "|".join(words) + ")"
 
 
 def pharma_text(c: Column) -> Column:

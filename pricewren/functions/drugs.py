@@ -31,75 +31,83 @@ SUBSTANCES = {
     "codeina": "codeina", "codeína": "codeina", "tramadol": "tramadol", "morfina": "morfina",
     "agua destilada": "agua para preparaciones inyectables", "agua esteril": "agua para preparaciones inyectables", "agua destilada esteril": "agua para preparaciones inyectables",
 }
-# Pharmaceutical forms by route; a form, then other ways to write it.
+# Pharmaceutical forms by route, each with other ways to write it.
 FORMS = {
-    "ORAL_SOLID": """
-        tableta: tabletas, tab, tab., comprimido, comprimidos
-        tableta recubierta
-        tableta dispersable
-        tableta efervescente
-        tableta de liberacion prolongada: tabletas de liberacion prolongada, tableta liberacion prolongada, tableta de liberacion modificada
-        tableta de liberacion retardada: tabletas de liberacion retardada, tableta liberacion retardada
-        tableta masticable: tabletas masticables
-        tableta sublingual
-        tableta orodispersable: tableta dispersible
-        capsula: capsulas, cap, cap., capsula dura, cápsula dura, capsulas duras
-        capsula blanda: capsulas blandas, capsula gelatinosa
-        capsula de liberacion prolongada: capsula de liberacion retardada
-        capsula de liberacion modificada
-        gragea
-        granulos: granulos para solucion oral""",
-    "ORAL_LIQUID": """
-        solucion oral: sol. oral, solucion
-        suspension oral: suspension
-        jarabe: syrup
-        elixir
-        emulsion oral
-        gotas orales""",
-    "INJECTABLE": """
-        solucion inyectable: solucion para inyeccion, sol. inyectable, solucion inyectable concentrada
-        solucion para infusion: solucion para infusion intravenosa, solucion concentrada para infusion
-        polvo para solucion inyectable
-        polvo para reconstitucion: liofilizado, polvo para reconstituir a solucion oral, polvo para reconstituir a suspension oral, polvo esteril para reconstituir, polvo para reconstituir, polvo liofilizado, polvo liofilo
-        suspension inyectable""",
-    "TOPICAL": """
-        unguento: unguento topico, ungüento, ungüento topico
-        crema: crema topica, crema proctologica
-        crema vaginal
-        gel topico: gel
-        solucion topica
-        suspension topica
-        locion: locion topica
-        espuma topica
-        parche transdermico: parche trasdermico
-        polvo topico
-        jalea: jalea topica, jalea uretral, gel uretral
-        pasta: pasta topica""",
-    "OPHTHALMIC": """
-        solucion oftalmica: colirio, gotas oftalmicas
-        suspension oftalmica
-        gel oftalmico
-        unguento oftalmico
-        solucion otica: gotas oticas""",
-    "INHALATION": """
-        inhalador: aerosol, spray, solucion en aerosol, solucion en aerosol inhalador, aerosol inhalador
-        spray nasal: solucion intranasal
-        polvo para inhalacion: capsula dura para inhalacion, polvo para inhalacion inhalador
-        solucion para inhalacion: solucion para nebulizacion, solucion nebulizable""",
-    "RECTAL_VAGINAL": """
-        supositorio: supositorios
-        ovulo
-        ovulo vaginal
-        tableta vaginal
-        solucion rectal
-        unguento rectal
-        dispositivo intrauterino""",
-    "OTHER": """
-        implante: implante trasdermico, implante transdermico
-        polvo efervescente""",
-}
+    "ORAL_SOLID": {
+        "tableta": ("tabletas", "tab", "tab.", "comprimido", "comprimidos"),
+        "tableta recubierta": (),
+        "tableta dispersable": (),
+        "tableta efervescente": (),
+        "tableta de liberacion prolongada": ("tabletas de liberacion prolongada", "tableta liberacion prolongada", "tableta de liberacion modificada"),
+        "tableta de liberacion retardada": ("tabletas de liberacion retardada", "tableta liberacion retardada"),
+        "tableta masticable": ("tabletas masticables",),
+        "tableta sublingual": (),
+        "tableta orodispersable": ("tableta dispersible",),
+        "capsula": ("capsulas", "cap", "cap.", "capsula dura", "cápsula dura", "capsulas duras"),
+        "capsula blanda": ("capsulas blandas", "capsula gelatinosa"),
+        "capsula de liberacion prolongada": ("capsula de liberacion retardada",),
+        "capsula de liberacion modificada": (),
+        "gragea": (),
+        "granulos": ("granulos para solucion oral",),
+    },
+    "ORAL_LIQUID": {
+        "solucion oral": ("sol. oral", "solucion"),
+        "suspension oral": ("suspension",),
+        "jarabe": ("syrup",),
+        "elixir": (),
+        "emulsion oral": (),
+        "gotas orales": (),
+    },
+    "INJECTABLE": {
+        "solucion inyectable": ("solucion para inyeccion", "sol. inyectable", "solucion inyectable concentrada"),
+        "solucion para infusion": ("solucion para infusion intravenosa", "solucion concentrada para infusion"),
+        "polvo para solucion inyectable": (),
+        "polvo para reconstitucion": ("liofilizado", "polvo para reconstituir a solucion oral", "polvo para reconstituir a suspension oral", "polvo esteril para reconstituir", "polvo para reconstituir", "polvo liofilizado", "polvo liofilo"),
+        "suspension inyectable": (),
+    },
+    "TOPICAL": {
+        "unguento": ("unguento topico", "ungüento", "ungüento topico"),
+        "crema": ("crema topica", "crema proctologica"),
+        "crema vaginal": (),
+        "gel topico": ("gel",),
+        "solucion topica": (),
+        "suspension topica": (),
+        "locion": ("locion topica",),
+        "espuma topica": (),
+        "parche transdermico": ("parche trasdermico",),
+        "polvo topico": (),
+        "jalea": ("jalea topica", "jalea uretral", "gel uretral"),
+        "pasta": ("pasta topica",),
+    },
+    "OPHTHALMIC": {
+        "solucion oftalmica": ("colirio", "gotas oftalmicas"),
+        "suspension oftalmica": (),
+        "gel oftalmico": (),
+        "unguento oftalmico": (),
+        "solucion otica": ("gotas oticas",),
+    },
+    "INHALATION": {
+        "inhalador": ("aerosol", "spray", "solucion en aerosol", "solucion en aerosol inhalador", "aerosol inhalador"),
+        "spray nasal": ("solucion intranasal",),
+        "polvo para inhalacion": ("capsula dura para inhalacion", "polvo para inhalacion inhalador"),
+        "solucion para inhalacion": ("solucion para nebulizacion", "solucion nebulizable"),
+    },
+    "RECTAL_VAGINAL": {
+        "supositorio": ("supositorios",),
+        "ovulo": (),
+        "ovulo vaginal": (),
+        "tableta vaginal": (),
+        "solucion rectal": (),
+        "unguento rectal": (),
+        "dispositivo intrauterino": (),
+    },
+    "OTHER": {
+        "implante": ("implante trasdermico", "implante transdermico"),
+        "polvo efervescente": (),
+    },
+}
 # Words beside a substance's name that aren't part of it.
-SALTS = "clorhidrato hidrocloruro sodico potasico calcico acetato fosfato sulfato bromuro maleato fumarato tartrato base mesilato mesilas trihidrato monohidrato dihidrato etabonato anhidro besylato"
+SALTS = ("clorhidrato", "hidrocloruro", "sodico", "potasico", "calcico", "acetato", "fosfato", "sulfato", "bromuro", "maleato", "fumarato", "tartrato", "base", "mesilato", "mesilas", "trihidrato", "monohidrato", "dihidrato", "etabonato", "anhidro", "besylato")
 # Packaging at the end of a name.
 CONTAINERS = r"frasco(?:\s+gotero)?|vial|jeringa(?:\s+prellenada)?|ampolla|ampula|sobre|tubo|caja|lapicero|cartucho|implante|par\b"
 QUANTITY = r"x\s+\d+[.,]?\d*\s*(?:ml|g\b|l\b|mg|mcg|dosis|unidades?|uds?|u\b)"
@@ -115,12 +123,7 @@ CONCENTRATION = f"struct<raw: string, value: {VALUE}, unit: string, encoding: st
 
 def _forms() -> list[tuple[str, str, str]]:
     """Each way to write a form, the form, and its group."""
-    out = []
-    for group, text in FORMS.items():
-        for line in text.strip().splitlines():
-            form, _, others = line.strip().partition(":")
-            out += [(name.strip(), form, group) for name in (form, *(others.split(",") if others else ()))]
-    return out
+    return [(name, form, group) for group, forms in FORMS.items() for form, others in forms.items() for name in (form, *others)]
 
 
 def _table(pairs: dict[str, str]) -> Column:
@@ -182,7 +185,7 @@ def catalog_concentration(c: Column) -> Column:
 
 def substance(c: Column) -> Column:
     """FN-PARSE-13: a substance's name folded, without words for salts."""
-    bare = F.regexp_replace(ascii_fold(c), rf"\b(?:{SALTS.replace(' ', '|')})\b", " ")
+    bare = F.regexp_replace(ascii_fold(c), rf"\b(?:{'|'.join(SALTS)})\b", " ")
     return F.trim(F.regexp_replace(bare, r"\s{2,}", " "))
 
 
