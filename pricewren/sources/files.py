@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pricewren.sources.spreadsheets import read_sheet
+from pricewren.tables import written
+
 # Standard fields and the header patterns that feed them.
 FIELD_PATTERNS = {
     "cum_code": (r"\bcum\b", r"codigo\s*cum", r"c[oó]digo.*cum"),
@@ -21,11 +24,30 @@ FIELD_PATTERNS = {
 
 
 def read_texts(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """A delimited file with a header, all columns text: tabs for .tsv and .txt, else commas."""
+    """SRC-01, SRC-02: a file with a header, all columns text: a workbook's first sheet, tabs for .tsv and .txt, else commas."""
+    if path.lower().endswith((".xlsx", ".xls")):
+        return read_sheet(spark, path)
     sep = sep or ("\t" if path.lower().endswith((".tsv", ".txt")) else ",")
     return spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").option("encoding", encoding).csv(path, sep=sep)
 
 
+def read_numbered(spark: SparkSession, path: str, place: str = "row") -> DataFrame:
+    """read_texts() with ``place``, the number of each row from 1 on, in the order of files by name and rows in them.
+
+    Blocks of files are counted, and each begins where those before it end; only one row a block is sorted. Rows are
+    written to the shared folder once, so that numbers don't depend on how often the files are read.
+    """
+    if path.lower().endswith((".xlsx", ".xls")):
+        return read_sheet(spark, path, place)
+    df = read_texts(spark, path)
+    block = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    rows = written(df.select("*", *block, F.monotonically_increasing_id().alias("_at")), "numbered")
+    blocks = rows.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begun = blocks.select("_file", "_start", "_first", before.alias("_before"))
+    return rows.join(begun, ["_file", "_start"]).select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(place))
+
+
 def header_line(spark: SparkSession, path: str) -> str:
     row = spark.read.text(path).first()
     return (row["value"] if row else "").lstrip("﻿")

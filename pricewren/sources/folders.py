@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DateType, DecimalType, DoubleType, IntegerType, LongType, StringType, TimestampType
 
+from pricewren.sources.spreadsheets import read_sheet, with_types
 from pricewren.tables import hadoop_path
 
 SEPARATORS = {".csv": ",", ".tsv": "\t", ".txt": "\t"}
@@ -28,18 +29,20 @@ def wider(a: DataType, b: DataType) -> DataType:
 
 
 def input_files(spark: SparkSession, folder: str) -> list[str]:
-    """SRC-04: paths of the folder's delimited files in order. Spreadsheets are an error, as no reader is installed."""
+    """SRC-04: paths of the folder's delimited files and workbooks in order. The old binary sheets (.xls) are an error, as nothing here reads them."""
     path, system = hadoop_path(spark, folder)
     found = sorted(s.getPath().toString() for s in system.listStatus(path) if s.isFile())
-    if sheets := [f for f in found if f.lower().endswith((".xlsx", ".xls"))]:
+    if sheets := [f for f in found if f.lower().endswith(".xls")]:
         raise ValueError(f"no reader for spreadsheets: {', '.join(sheets)}")
-    return [f for f in found if any(f.lower().endswith(e) for e in SEPARATORS)]
+    return [f for f in found if any(f.lower().endswith(e) for e in (*SEPARATORS, ".xlsx"))]
 
 
 def read_typed(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-03: a delimited file with a header, types inferred: tabs for .tsv and .txt, else commas."""
+    """SRC-03: a file with a header, types inferred, and ``file_name``: a workbook's first sheet, tabs for .tsv and .txt, else commas."""
+    if path.lower().endswith(".xlsx"):
+        return with_types(read_sheet(spark, path)).withColumn("file_name", F.lit(path.rsplit("/", 1)[-1]))
     sep = next((s for e, s in SEPARATORS.items() if path.lower().endswith(e)), ",")
-    return spark.read.option("header", True).option("inferSchema", True).csv(path, sep=sep)
+    return spark.read.option("header", True).option("inferSchema", True).csv(path, sep=sep).withColumn("file_name", F.col("_metadata.file_name"))
 
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,7 +50,7 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
 
     A column whose type differs between files gets the wider one; files without it have nulls. A folder without files is an error.
     """
-    frames = [read_typed(spark, f).withColumn("file_name", F.col("_metadata.file_name")) for f in input_files(spark, folder)]
+    frames = [read_typed(spark, f) for f in input_files(spark, folder)]
     if not frames:
         raise ValueError(f"no delimited files in {folder}")
     types: dict[str, DataType] = {}

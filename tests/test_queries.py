@@ -5,9 +5,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from pricewren.plans import catalog, queries, records, stores
+from pricewren.plans import catalog, queries, records, staging, stores
 
-QUERIES, SQL = queries.QUERIES | catalog.QUERIES | stores.QUERIES | records.QUERIES, queries.SQL | catalog.SQL | stores.SQL | records.SQL
+QUERIES, SQL = queries.QUERIES | catalog.QUERIES | stores.QUERIES | records.QUERIES | staging.QUERIES, queries.SQL | catalog.SQL | stores.SQL | records.SQL | staging.SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

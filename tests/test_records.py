@@ -76,7 +76,7 @@ def test_folder_of_mixed_files_widens_types(spark, tmp_path):
     got = folders.read_folder(spark, str(tmp_path))
     assert dict(got.dtypes) == {"k": "string", "v": "double", "d": "timestamp", "w": "string", "file_name": "string"}
     assert {(r["k"], r["v"], r["w"], r["file_name"]) for r in got.collect()} == {("1", 2.0, None, "a.csv"), ("2", 3.0, None, "a.csv"), ("3", 2.5, "x", "b.tsv"), ("x9", 9999999999.0, None, "c.txt")}
-    (tmp_path / "e.xlsx").write_text("")
+    (tmp_path / "e.xls").write_text("")
     with pytest.raises(ValueError, match="spreadsheets"):
         folders.read_folder(spark, str(tmp_path))
 
