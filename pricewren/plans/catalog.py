@@ -117,12 +117,22 @@ def currency_prices(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(catalog.currency(F.when(F.col("p_partkey") % 2 == 0, us).otherwise(european)), 2).alias("price"))
 
 
-@query("select s_suppkey, ['TECNOQUIMICAS', 'LA_SANTE', 'FRESENIUS', null][s_suppkey % 4 + 1] as code, [0.95, 0.95, 0.9, 0.0][s_suppkey % 4 + 1]::double as confidence, ['filename', 'filename', 'header', 'unknown'][s_suppkey % 4 + 1] as method from supplier")
+@query(
+    """with k as (select s_suppkey, s_suppkey % 12 as k from supplier)
+select s_suppkey, ['TECNOQUIMICAS', 'LA_SANTE', 'MEGALABS', 'MK', 'COASPHARMA', 'SANOFI', 'FRESENIUS', 'LA_SANTE', 'TECNOQUIMICAS', 'PROCAPS', null, null][k + 1] as code,
+case when k < 6 then 0.95 when k < 10 then 0.9 else 0.0 end::double as confidence, case when k < 6 then 'filename' when k < 10 then 'header' else 'unknown' end as method from k"""
+)
 def supplier_detection(spark, sf_dir):
-    """FN-STR-22, ARR-04: who sent a file, by its name or its headers."""
-    name = _by_key("s_suppkey", _text("in/TecnoQuimicas %d.xlsx", "s_suppkey"), F.lit("c:\\x\\LISTA la sante.csv"), F.lit("precios.xlsx"), F.lit("roche/precios.csv"))
-    columns = F.when(F.col("s_suppkey") % 4 == 2, F.array(F.lit(" CUM"), F.lit("Precio"), F.lit("Vigente desde"), F.lit("vigente hasta "))).otherwise(F.array(F.lit("precio"), F.lit("x")))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", catalog.supplier_of(name, columns).alias("v")).select("s_suppkey", "v.*")
+    """FN-STR-22, ARR-04: who sent a file, by its name or its headers; names and headers vary with the supplier's columns."""
+    k, by_name = F.col("s_suppkey") % 12, F.regexp_replace("s_name", "[^A-Za-z0-9]", "_")
+    number = F.col("s_suppkey").cast("string")
+    names = [("in/", " TecnoQuimicas ", ".xlsx"), ("c:\\x\\", " LISTA la sante ", ".csv"), ("MK/", "-MEGALAB-", ".v2.tsv"), ("", " mk ", ".csv"), ("pfizer/", "Coas Pharma", ".txt"), ("", "_SANOFI_", ".xls")]
+    plain = F.concat(F.lit("roche/bayer/"), by_name, F.lit("-"), number, F.lit(".csv"))
+    file = F.coalesce(*(F.when(k == i, F.concat(F.lit(folder), number, F.lit(stem), by_name, F.lit(end))) for i, (folder, stem, end) in enumerate(names)), plain)
+    heads = {6: (" CUM", "Precio", "Vigente desde", "vigente hasta "), 7: ("CUM ", "PRECIO", "Descripcion"), 8: ("Codigo CUM", " Producto", "precio UNITARIO"), 9: ("Reg. Invima", "descripcion", "Precio"), 10: ("cum", "descripcion")}
+    rest = F.array(F.lit("precio"), F.concat(F.lit("x"), number))
+    columns = F.coalesce(*(F.when(k == i, F.array(F.concat(F.lit("col "), by_name), *map(F.lit, head))) for i, head in heads.items()), rest)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", catalog.supplier_of(file, columns).alias("v")).select("s_suppkey", "v.*")
 
 
 @query("select l_orderkey, round(1 - min(l_discount), 4) as confidence, case when min(l_discount) <= 0.01 then first(l_partkey order by l_linenumber, l_partkey, l_suppkey) end as id, min(l_discount) <= 0.01 as approved from lineitem group by 1")

@@ -230,13 +230,18 @@ def ingredient_explode(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(parts), "|").alias("parts"))
 
 
-_GRAPH = r"trim(regexp_replace(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), '[^a-z0-9%./+\- ]+', ' ', 'g'))"
+_DOSED = "coalesce(text, '') || ' Tab. ' || doc_id % 997 || [' MG', 'mcg', ' Ui', ' kg', '%x'][doc_id % 5 + 1] || ' (' || doc_id % 13 || '.' || doc_id % 4 || ' ml)/' || doc_id % 13 || '.' || doc_id % 4 || 'ML + ' || doc_id % 3 || ' g'"
+_GRAPH = rf"trim(regexp_replace(lower(trim(regexp_replace({_DOSED}, '\s+', ' ', 'g'))), '[^a-z0-9%./+\- ]+', ' ', 'g'))"
 
 
 @query(rf"select doc_id, d as dose, cast(count(*) as bigint) as n from (select doc_id, unnest(list_transform(regexp_extract_all({_GRAPH}, '{text.DOSE}'), lambda x: replace(x, ' ', ''))) as d from documents) group by all")
 def extract_doses(spark, sf_dir):
-    """FN-STR-06, FN-STR-07, FN-STR-09: every dose in every document."""
-    found = F.regexp_extract_all(text.graph_text(F.col("text")), F.lit(text.DOSE), F.lit(0))
+    """FN-STR-06, FN-STR-07, FN-STR-09: every dose in every document and in a line of doses after it, as few documents have one."""
+    k, of = F.col("doc_id"), lambda n: (F.col("doc_id") % n).cast("string")
+    unit = F.element_at(F.array(*map(F.lit, (" MG", "mcg", " Ui", " kg", "%x"))), (k % 5 + 1).cast("int"))
+    ml = F.concat(of(13), F.lit("."), of(4))
+    dosed = F.concat(F.coalesce("text", F.lit("")), F.lit(" Tab. "), of(997), unit, F.lit(" ("), ml, F.lit(" ml)/"), ml, F.lit("ML + "), of(3), F.lit(" g"))
+    found = F.regexp_extract_all(text.graph_text(dosed), F.lit(text.DOSE), F.lit(0))
     e = table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("d")).withColumn("dose", F.replace("d", F.lit(" "), F.lit("")))
     return e.groupBy("doc_id", "dose").agg(F.count(F.lit(1)).alias("n"))
 

@@ -41,6 +41,12 @@ def test_folds_of_latin_letters_and_signs(spark):
     assert {(r["c"], r["s"]) for r in rows if r["c"] in latin} == {(v, stripped(v)) for v in latin}
 
 
+def test_documents_have_doses_to_find(spark):
+    found = QUERIES["extract_doses"](spark, SF)
+    assert found.count() > spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert {"ml", "mg", "mcg", "ui", "g"} <= {r[0] for r in found.select(F.regexp_replace("dose", "^[0-9.]+", "")).distinct().collect()}
+
+
 def test_margins_of_all_names(spark):
     names = sorted({r["p_name"] for r in spark.read.parquet(f"{SF}/part.parquet").select("p_name").collect() if r["p_name"]})
     grams = {n: {f"  {w} "[i : i + 3] for w in re.findall(r"\w+", n.lower()) for i in range(len(w) + 1)} for n in names}
