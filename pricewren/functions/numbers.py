@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def locale_decimal(c: Column, kind: str = "decimal(18,4)") -> Column:
     """A number whose decimal sign is the last of comma and dot if both are there, and the only one otherwise."""
-    t = F.regexp_replace(F.trim(c), r"[$\s ]", "")
-    comma, dot = F.contains(t, F.lit(",")), F.contains(t, F.lit("."))
-    comma_last = F.length(F.substring_index(t, ",", -1)) < F.length(F.substring_index(t, ".", -1))
-    european = F.replace(F.replace(t, F.lit(".")), F.lit(","), F.lit("."))
-    plain = F.when(comma & dot, F.when(comma_last, european).otherwise(F.replace(t, F.lit(",")))).when(comma, F.replace(t, F.lit(","), F.lit("."))).otherwise(t)
+    t = F.regexp_replace(c, r"[$\s ]", "")
+    comma_last = F.length(F.substring_index(t, ",", -1)) < F.length(F.substring_index(t, ".", -1))  # a sign that is missing leaves the whole text
+    plain = F.when(comma_last, F.replace(F.replace(t, F.lit(".")), F.lit(","), F.lit("."))).otherwise(F.replace(t, F.lit(",")))
     return plain.try_cast(kind)
 
 
@@ -45,6 +45,12 @@ DATE_FORMATS = ("yyyy-M-d", "d/M/yyyy", "d-M-yyyy", "yyyyMMdd")
 
 
 def any_date(c: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """The date by the first format that reads it."""
+    """The date by the first format that reads it. A format of numbers alone is tried only on texts of its shape, as a failed try costs far more."""
     t = F.trim(c)
-    return F.coalesce(*(F.to_date(F.try_to_timestamp(t, F.lit(f))) for f in formats))
+
+    def read(f: str) -> Column:
+        tried = F.to_date(F.try_to_timestamp(t, F.lit(f)))
+        shape = re.sub("[yMd]+", r"[+-]?\\d+", re.sub("[./]", r"\\\g<0>", f))
+        return F.when(t.rlike(f"^{shape}$"), tried) if re.fullmatch("(?:y{4}|MM?|dd?|[-./ ])+", f) else tried
+
+    return F.coalesce(*map(read, formats))

@@ -95,15 +95,17 @@ def row_key(orphan: bool = False) -> Column:
     return F.sha1(F.concat_ws("|", *head, *tail, price))
 
 
-# Fixed value: a dose that a description has or lacks.
-DESCRIBED_DOSE = r"(?i)\d+[.,]?\d*\s*(?:mg|mcg|ug|ml|g\b|ui\b|iu\b|%)"
+# Fixed value: a dose that a description has or lacks. Digits are read once from where they begin: given back one by one,
+# those of a long key without a unit would be tried in every division, which costs the cube of their number.
+DESCRIBED_DOSE = r"(?i)(?<!\d)\d++[.,]?+\d*+\s*+(?:mg|mcg|ug|ml|g\b|ui\b|iu\b|%)"
 
 
 def with_doses(description: Column, trade_name: Column, dose: str = DESCRIBED_DOSE) -> Column:
     """FN-STR-09: a description without a dose, followed by the doses of the trade name in lower case."""
     found = F.regexp_extract_all(F.coalesce(trade_name, F.lit("")), F.lit(dose), F.lit(0))
     own = F.nullif(F.trim(description), F.lit(""))
-    return F.when(own.isNotNull() & ~own.rlike(dose) & (F.size(found) > 0), F.concat_ws(" ", own, F.lower(F.array_join(found, " ")))).otherwise(own)
+    # found stands once, so that only descriptions without a dose search the trade name
+    return F.when(~own.rlike(dose), F.rtrim(F.concat_ws(" ", own, F.lower(F.array_join(found, " "))))).otherwise(own)
 
 
 # Columns of the master file that are cleaned, fields of open-data records by kind, and labels of their origins.

@@ -37,14 +37,15 @@ def staging_rows(df: DataFrame, mapping: dict[str, str], archive: str, place: st
     trade = next((of(c) for c in columns if re.search(TRADE_NAME, c, re.IGNORECASE)), F.lit(None).cast("string"))
     described = F.coalesce(full(of(normalized)), full(field("descripcion"))) if normalized else full(field("descripcion"))
     money = {name: numbers.locale_decimal(field(name)) for name in ("precio_unitario", "precio_unidad", "precio_presentacion")}
-    out = df.select(
-        F.lit(archive).alias("archivo_id"), F.col(f"`{place}`").cast("long").alias("fila_numero"), full(field("cum_code")).alias("cum_code"), *(c.alias(n) for n, c in money.items()),
+    cum, priced = full(field("cum_code")), F.coalesce(money["precio_unitario"] != 0, F.lit(False))
+    # on the file's own columns, so that doses aren't looked for twice; they never make a null description one that says something
+    out = df.where(cum.isNotNull() | described.isNotNull() | priced).select(
+        F.lit(archive).alias("archivo_id"), F.col(f"`{place}`").cast("long").alias("fila_numero"), cum.alias("cum_code"), *(c.alias(n) for n, c in money.items()),
         numbers.fraction(field("porcentaje_iva")).alias("porcentaje_iva"), records.with_doses(described, trade).alias("descripcion_raw"), *(numbers.any_date(field(n)).alias(n) for n in ("vigente_desde", "vigente_hasta")),
         F.create_map(*(x for c in columns for x in (F.lit(c), of(c)))).alias("datos_raw"),
     )
-    said = F.col("cum_code").isNotNull() | F.col("descripcion_raw").isNotNull() | F.coalesce(F.col("precio_unitario") != 0, F.lit(False))
     keyed = F.col("cum_code").isNotNull()
-    return out.where(said).select(
+    return out.select(
         *[c for c in out.columns if c != "datos_raw"], F.coalesce("vigente_desde", "vigente_hasta").isNull().alias("fecha_vigencia_indefinida"), F.when(keyed, F.lit(1).cast("decimal(5,4)")).alias("confianza_score"), F.when(keyed, "APROBADO").otherwise("PENDIENTE").alias("estado_homologacion"), "datos_raw"
     )
 

@@ -34,8 +34,9 @@ def read_texts(spark: SparkSession, path: str, sep: str | None = None, encoding:
 def read_numbered(spark: SparkSession, path: str, place: str = "row") -> DataFrame:
     """read_texts() with ``place``, the number of each row from 1 on, in the order of files by name and rows in them.
 
-    Blocks of files are counted, and each begins where those before it end; only one row a block is sorted. Rows are
-    written to the shared folder once, so that numbers don't depend on how often the files are read.
+    Blocks of files are counted, and each begins where those before it end; only one row a block is sorted and goes to
+    every task, which finds a row's block by the task that read it and its place there: rows stay where they are.
+    They are written to the shared folder once, so that numbers don't depend on how often the files are read.
     """
     if path.lower().endswith((".xlsx", ".xls")):
         return read_sheet(spark, path, place)
@@ -44,8 +45,10 @@ def read_numbered(spark: SparkSession, path: str, place: str = "row") -> DataFra
     rows = written(df.select("*", *block, F.monotonically_increasing_id().alias("_at")), "numbered")
     blocks = rows.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    begun = blocks.select("_file", "_start", "_first", before.alias("_before"))
-    return rows.join(begun, ["_file", "_start"]).select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(place))
+    reader = lambda at: F.shiftright(at, 33)  # noqa: E731  # upper bits of monotonically_increasing_id()
+    begun = blocks.select(reader("_first").alias("_reader"), "_first", (F.col("_first") + F.col("_n")).alias("_end"), before.alias("_before"))
+    within = (reader("_at") == F.col("_reader")) & (F.col("_at") >= F.col("_first")) & (F.col("_at") < F.col("_end"))
+    return rows.join(F.broadcast(begun), within).select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(place))
 
 
 def header_line(spark: SparkSession, path: str) -> str:

@@ -1,6 +1,9 @@
 """Supplier files with row numbers, staging rows, derived fields, audits and workbooks."""
 
+import contextlib
 import io
+import re
+import time
 import zipfile
 from datetime import date, datetime
 from decimal import Decimal
@@ -8,6 +11,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from pricewren.functions import numbers, records
 from pricewren.operators import staging
 from pricewren.sources import files, folders, spreadsheets
 
@@ -122,6 +126,48 @@ def test_staging_rows(spark):
     assert staging.staging_rows(d.where("false"), mapping, "A").count() == 0
 
 
+def test_rows_stay_where_they_are_read(spark, tmp_path):
+    for name in ("b.csv", "a.csv"):
+        (tmp_path / name).write_text("v\n" + "".join(f"{name}{i}\n" for i in range(50)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = files.read_numbered(spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        rows = {r["row"]: r["v"] for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert rows == dict(enumerate([f"{name}{i}" for name in ("a.csv", "b.csv") for i in range(50)], 1))
+
+
+def test_staging_code_is_small_enough_to_be_compiled(spark, tmp_path):
+    texts = ["CUM", "Precio unitario", "IVA", "Descripción", "Nombre comercial", "Vigente desde"]
+    spark.range(9).select(*(F.col("id").cast("string").alias(c) for c in texts), F.col("id").alias("row")).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        staging.staging_rows(df, files.suggest_mapping(texts), "A").explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", shown.getvalue())]
+    assert sizes and max(sizes) < 8000  # the JVM only interprets larger methods
+
+
+def test_long_keys_without_a_unit_are_searched_once(spark):
+    key = "X" + "1" * 4000
+    d = spark.createDataFrame([("Solo", key), ("Solo " + "7" * 4000, "30 MG"), ("Solo", f"{key} 1.2.5 MG")], "a string, b string")
+    began = time.time()
+    got = [r[0] for r in d.select(records.with_doses(F.col("a"), F.col("b"))).collect()]
+    assert got == ["Solo", "Solo " + "7" * 4000 + " 30 mg", "Solo 2.5 mg"] and time.time() - began < 10
+    old = r"(?i)\d+[.,]?\d*\s*(?:mg|mcg|ug|ml|g\b|ui\b|iu\b|%)"
+    for text in ("1.2.3mg", "5 g", "5 gr 12,UI", "12 3 %4,5,6ml", "1..2mg 3. 4ug", "7 \t mcg8MG"):
+        assert re.findall(records.DESCRIBED_DOSE, text) == re.findall(old, text)
+
+
+@pytest.mark.parametrize(("raw", "want"), [(" 1-2-2024", "2024-02-01"), ("2024-1-2 ", "2024-01-02"), ("+12024-01-02", "+12024-01-02"), ("1/2", None), ("1/2/2024 10:00", None), ("2024-13-01", None), ("N/A", None)])
+def test_dates_are_tried_by_their_shape(spark, raw, want):
+    got = spark.createDataFrame([(raw,)], "c string").select(numbers.any_date(F.col("c")).cast("string").alias("d")).first()["d"]
+    assert got == want
+
+
 def test_fields_of_names(spark):
     names = ["Acetaminofén 500 MG TABLETA LAFRANCOL", "Jarabe 5.5ML x 10 JBE, frasco", "GEL 2 % azul", "x 5 mg tab", "", None, "5 GR AMPOLLAS ab1"]
     d = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, `a name` string")
